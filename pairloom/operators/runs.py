@@ -1,0 +1,242 @@
+"""Ordered folds whose state is too large to carry as a function.
+
+A sliding window remembers its last admissions and a two-level bucket several
+levels. Such folds are cut where the past cannot matter: each chunk looks for
+its first row at which the state is the same whatever came before, and the rows
+before that row join the run of the previous chunk. Runs are independent and
+are folded in parallel, with rows streamed and only the state in memory.
+
+What this cannot cut is a key under uninterrupted overload, whose every
+decision depends on the one before: such a run is one sequential fold. It reads
+narrow columns only.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable, Iterator, Mapping
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from pairloom.operators.bucket import TOKEN, level_units, refill_units
+from pairloom.operators.ordered import micros, sorted_chunks
+
+HEADS = "k string, chunk int, sync bigint"
+
+
+def _heads(find: Callable[[pd.DataFrame], int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per chunk: its first key with the first independent row (-1: none), and
+    its last key, which starts in this chunk if it is another one."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, last = [], None
+        for pdf in batches:
+            if not mine:
+                first = (pdf.k.iloc[0], pdf.chunk.iloc[0])
+                mine.append(pdf[pdf.k == first[0]])
+            elif last[0] == first[0]:
+                mine.append(pdf[pdf.k == first[0]])
+            last = (pdf.k.iloc[-1], pdf.chunk.iloc[-1])
+        if not mine:
+            return
+        out = [(*first, find(pd.concat(mine, ignore_index=True)))]
+        if last[0] != first[0]:
+            out.append((*last, 0))
+        yield pd.DataFrame(out, columns=["k", "chunk", "sync"])
+
+    return heads
+
+
+def independent_runs(chunks: DataFrame, find: Callable[[pd.DataFrame], int]) -> DataFrame:
+    """Adds ``run``; rows of one (k, run) in order need nothing from outside."""
+    before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    heads = chunks.mapInPandas(_heads(find), HEADS)
+    # The first chunk of a key always opens a run.
+    opened = F.when((F.col("sync") >= 0) | F.col("_first"), F.col("chunk"))
+    heads = (
+        heads.withColumn("_first", F.row_number().over(Window.partitionBy("k").orderBy("chunk")) == 1)
+        .withColumn("_prev", F.last(opened, ignorenulls=True).over(before))
+        .where(F.col("_prev").isNotNull())
+        .select("k", "chunk", "sync", "_prev")
+    )
+    joins_previous = F.col("_prev").isNotNull() & ((F.col("sync") < 0) | (F.col("idx") < F.col("sync")))
+    return (
+        chunks.join(F.broadcast(heads), ["k", "chunk"], "left")
+        .withColumn("run", F.when(joins_previous, F.col("_prev")).otherwise(F.col("chunk")))
+        .drop("sync", "_prev", "chunk", "idx")
+    )
+
+
+def fold_runs(runs: DataFrame, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Apply ``step(state, row) -> output tuple`` to the rows of each run in order."""
+    columns = runs.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        names = [f.strip().split(" ")[0] for f in schema.split(",")]
+        for pdf in batches:
+            out = []
+            for row in zip(*(pdf[c].tolist() for c in columns)):
+                r = dict(zip(columns, row))
+                if (r["k"], r["run"]) != current:
+                    current, state = (r["k"], r["run"]), start()
+                out.append(step(state, r))
+            yield pd.DataFrame(out, columns=names)
+
+    return (
+        runs.repartition("k", "run").sortWithinPartitions("k", "run", "t", "id").mapInPandas(fold, schema)
+    )
+
+
+# --- sliding window ---------------------------------------------------------
+
+SLIDING = "k string, t bigint, id bigint, cost bigint, admitted boolean, retry_us bigint"
+
+
+def sliding_step(state: dict, r: dict, limit: int, window: int) -> tuple:
+    """State: admitted (time, cost) inside the window, oldest first."""
+    t, cost, live = r["t"], r["cost"], state["live"]
+    while live and live[0][0] <= t - window:
+        state["used"] -= live.popleft()[1]
+    if state["used"] + cost <= limit:
+        if cost:
+            live.append((t, cost))
+            state["used"] += cost
+        return (r["k"], t, r["id"], cost, True, 0)
+    return (r["k"], t, r["id"], cost, False, live[0][0] + window - t if live else 0)
+
+
+def sliding_start() -> dict:
+    return {"live": deque(), "used": 0}
+
+
+def first_quiet_row(pdf: pd.DataFrame, limit: int, window: int) -> int:
+    """First row that the past cannot influence.
+
+    If all requests of the last two windows fit into the limit, those of the
+    last window were admitted, whatever came before; the run can start with the
+    first of them.
+    """
+    t, total = pdf.t.to_numpy(), np.concatenate([[0], np.cumsum(pdf.cost.to_numpy())])
+    i = np.arange(len(t))
+    demand = total[i] - total[np.searchsorted(t, t - 2 * window, side="right")]
+    quiet = np.flatnonzero((demand <= limit) & (t - 2 * window >= t[0]))
+    if not len(quiet):
+        return -1
+    return int(pdf.idx.iloc[int(np.searchsorted(t, t[quiet[0]] - window, side="right"))])
+
+
+def sliding_window_admit(
+    requests: DataFrame, key: str, ts: str, tie: str, limit: int, seconds: float, cost: Column | None = None
+) -> DataFrame:
+    """Admit while what was admitted in the last ``seconds`` plus the cost fits.
+
+    An admission exactly ``seconds`` old no longer counts. ``retry_after`` is
+    the time until the oldest counted admission leaves the window.
+    """
+    window = round(seconds * 1_000_000)
+    price = F.lit(1) if cost is None else cost
+    rows = requests.select(
+        F.col(key).cast("string").alias("k"),
+        micros(requests, ts).alias("t"),
+        F.col(tie).cast("bigint").alias("id"),
+        price.cast("bigint").alias("cost"),
+    )
+    chunks = sorted_chunks(rows, ["k"], ["t", "id"])
+    runs = independent_runs(chunks, lambda pdf: first_quiet_row(pdf, limit, window))
+    decided = fold_runs(runs, sliding_start, lambda s, r: sliding_step(s, r, limit, window), SLIDING)
+    return decided.select(
+        F.col("k").alias(key), F.col("t").alias("ts_us"), F.col("id").alias(tie), "cost", "admitted",
+        (F.col("retry_us") / 1e6).alias("retry_after"),
+    )
+
+
+# --- shared bucket above provider buckets -----------------------------------
+
+HIERARCHICAL = (
+    "k string, t bigint, id bigint, provider string, cost bigint, admitted boolean, refused_by string, retry_us double"
+)
+
+
+def _bucket(state: dict, name: str, cap: int, rate: int, t: int) -> int:
+    level, last = state.get(name, (cap, t))
+    return min(cap, level + (t - last) * rate)
+
+
+def hierarchical_step(state: dict, r: dict, shared: tuple, limits: Mapping[str, tuple]) -> tuple:
+    """Shared bucket first, then the provider's; a provider refusal takes
+    nothing from the shared bucket."""
+    t, cost, provider = r["t"], r["cost"], r["provider"]
+    head = (r["k"], t, r["id"], provider, cost)
+    level = _bucket(state, "", *shared, t)
+    if level < cost:
+        state[""] = (level, t)
+        return (*head, False, "shared", (cost - level) / shared[1])
+    own = limits.get(provider)
+    if own is not None:
+        mine = _bucket(state, "p:" + provider, *own, t)
+        if mine < cost:
+            state[""], state["p:" + provider] = (level, t), (mine, t)
+            return (*head, False, "provider", (cost - mine) / own[1])
+        state["p:" + provider] = (mine - cost, t)
+    state[""] = (level - cost, t)
+    return (*head, True, None, 0.0)
+
+
+def first_full_row(pdf: pd.DataFrame, shared: tuple, limits: Mapping[str, tuple]) -> int:
+    """First row at which all buckets are surely full.
+
+    Charging every request, down to an empty bucket, gives a level that the
+    true one is never below.
+    """
+    t0 = int(pdf.t.iloc[0])
+    buckets = {"": shared, **{"p:" + p: v for p, v in limits.items()}}
+    floor = {name: (0, t0) for name in buckets}
+    rows = zip(pdf.t.tolist(), pdf.provider.tolist(), pdf.cost.tolist(), pdf.idx.tolist())
+    for t, provider, cost, idx in rows:
+        if all(lv + (t - at) * buckets[n][1] >= buckets[n][0] for n, (lv, at) in floor.items()):
+            return idx
+        for name in ("", "p:" + provider):
+            if name in buckets:
+                cap, rate = buckets[name]
+                level, at = floor[name]
+                floor[name] = (max(0, min(cap, level + (t - at) * rate) - cost), t)
+    return -1
+
+
+def hierarchical_admit(
+    requests: DataFrame,
+    scope: str,
+    provider: str,
+    ts: str,
+    tie: str,
+    shared: tuple[float, float],
+    limits: Mapping[str, tuple[float, float]],
+    cost: Column | None = None,
+) -> DataFrame:
+    """Admit through one shared bucket per scope and one per provider in it.
+
+    ``shared`` and the values of ``limits`` are (capacity, refill per second);
+    a provider that is not in ``limits`` only meets the shared bucket.
+    """
+    shared_u = (level_units(shared[0]), refill_units(shared[1]))
+    limits_u = {p: (level_units(c), refill_units(r)) for p, (c, r) in limits.items()}
+    price = F.lit(TOKEN).cast("bigint") if cost is None else F.round(cost * TOKEN).cast("bigint")
+    rows = requests.select(
+        F.col(scope).cast("string").alias("k"),
+        micros(requests, ts).alias("t"),
+        F.col(tie).cast("bigint").alias("id"),
+        F.coalesce(F.col(provider), F.lit("")).alias("provider"),
+        price.alias("cost"),
+    )
+    chunks = sorted_chunks(rows, ["k"], ["t", "id"])
+    runs = independent_runs(chunks, lambda pdf: first_full_row(pdf, shared_u, limits_u))
+    decided = fold_runs(runs, dict, lambda s, r: hierarchical_step(s, r, shared_u, limits_u), HIERARCHICAL)
+    return decided.select(
+        F.col("k").alias(scope), F.col("t").alias("ts_us"), F.col("id").alias(tie), F.col("provider").alias(provider),
+        (F.col("cost") / F.lit(float(TOKEN))).alias("cost"), "admitted", "refused_by",
+        (F.col("retry_us") / 1e6).alias("retry_after"),
+    )
