@@ -21,32 +21,24 @@ def jaccard_similarity(original: Column, rewrite: Column) -> Column:
     return F.coalesce(F.try_divide(shared, F.size(F.array_union(original, rewrite))), F.lit(0.0))
 
 
-def run_lengths(sorted_tokens: Column) -> Column:
-    """Lengths of the runs of equal values in a sorted array.
+def run_ends(sorted_tokens: Column) -> Column:
+    """1-based end positions of the runs of equal values in a sorted array.
 
-    A run ends where the next value differs; the lengths are the differences
-    of successive end positions.
+    Give this a column, not an expression: it is read at every position.
     """
     n = F.size(sorted_tokens)
-    following = F.concat(
-        F.slice(sorted_tokens, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        F.array(F.lit(None).cast("string")),
-    )
     ends = F.filter(
-        F.transform(
-            F.zip_with(sorted_tokens, following, lambda a, b: F.equal_null(a, b)),
-            lambda same, i: F.when(~same, (i + 1).cast("long")),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
-    return F.when(n > 0, F.zip_with(ends, starts, lambda e, s: e - s)).otherwise(
-        F.array().cast("array<bigint>")
+        F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1))
     )
+    return F.when(n > 0, ends).otherwise(F.array().cast("array<int>"))
 
 
-def sum_of_squares(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, c: acc + c * c)
+def squared_runs(ends: Column) -> Column:
+    """Sum of the squared run lengths, from a column of :func:`run_ends`."""
+    squares = F.transform(
+        ends, lambda e, i: F.pow(e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)), F.lit(2)).cast("long")
+    )
+    return F.aggregate(squares, F.lit(0).cast("long"), lambda acc, c: acc + c)
 
 
 def tf_cosine(dot: Column, norm2_original: Column, norm2_rewrite: Column) -> Column:

@@ -28,15 +28,30 @@ def strip_punct(text: Column) -> Column:
     return F.translate(text, C.ASCII_PUNCTUATION, "")
 
 
+# Every white-space character but the plain space, to be replaced by it.
+_OTHER_SPACE = C.WHITESPACE.replace(" ", "")
+
+
+def _split_at_spaces(text: Column) -> Column:
+    return F.array_remove(F.split(text, " +"), "")
+
+
 def split_words(text: Column) -> Column:
     """White-space separated words; no empty words, also at the edges."""
-    words = F.split(strip_text(text), C.WHITESPACE_CLASS + "+")
-    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(words)
+    return _split_at_spaces(F.translate(text, _OTHER_SPACE, " " * len(_OTHER_SPACE)))
+
+
+def _words_of(text: Column, gaps: str, contractions: bool = False) -> Column:
+    """Words of the lower-cased text: punctuation deleted, ``gaps`` split at."""
+    plain = F.lower(F.translate(text, gaps + C.ASCII_PUNCTUATION, " " * len(gaps)))
+    if contractions:
+        plain = split_contractions(plain)
+    return F.split(plain, " +")
 
 
 def tokenize(text: Column) -> Column:
     """Words of the lower-cased text without ASCII punctuation."""
-    return split_words(F.lower(strip_punct(text)))
+    return F.array_remove(_words_of(text, _OTHER_SPACE), "")
 
 
 def remove_stopwords(tokens: Column, stopwords: Sequence[str] = C.STOPWORDS) -> Column:
@@ -75,21 +90,14 @@ def normalize_text(
         return tokenize(text)
     if mode != "full":
         raise ValueError(f"mode must be 'full' or 'basic', not {mode!r}")
-    spaced = F.lower(
-        F.translate(
-            text,
-            C.TYPOGRAPHIC_QUOTES + C.ASCII_PUNCTUATION,
-            " " * len(C.TYPOGRAPHIC_QUOTES),
-        )
-    )
-    if contractions:
-        spaced = split_contractions(spaced)
+    words = _words_of(text, _OTHER_SPACE + C.TYPOGRAPHIC_QUOTES, contractions)
 
     def wanted(t: Column) -> Column:
         ok = t.rlike(C.ALNUM_TOKEN)
         return ~t.isin(*stopwords) & ok if stopwords else ok
 
-    return F.filter(split_words(spaced), wanted)
+    # An empty word at an edge is not alphanumeric either.
+    return F.filter(words, wanted)
 
 
 def sentence_count(text: Column) -> Column:

@@ -89,11 +89,11 @@ def lexical_metrics(
     ordered = tokens.withColumns({
         "_so": F.sort_array("_o"), "_sp": F.sort_array("_p"), "_sb": F.sort_array(F.concat("_o", "_p")),
     }).drop("_o", "_p")
-    runs = ordered.withColumns({
-        "_o": S.run_lengths(F.col("_so")), "_p": S.run_lengths(F.col("_sp")), "_b": S.run_lengths(F.col("_sb")),
+    ends = ordered.withColumns({
+        "_o": S.run_ends(F.col("_so")), "_p": S.run_ends(F.col("_sp")), "_b": S.run_ends(F.col("_sb")),
     }).drop("_so", "_sp", "_sb")
-    sums = runs.withColumns({
-        "_oo": S.sum_of_squares(F.col("_o")), "_pp": S.sum_of_squares(F.col("_p")), "_bb": S.sum_of_squares(F.col("_b")),
+    sums = ends.withColumns({
+        "_oo": S.squared_runs(F.col("_o")), "_pp": S.squared_runs(F.col("_p")), "_bb": S.squared_runs(F.col("_b")),
         "_no": F.size("_o"), "_nb": F.size("_b"), "_shared": F.size("_o") + F.size("_p") - F.size("_b"),
     }).drop("_o", "_p", "_b")
     dot = F.expr("(_bb - _oo - _pp) div 2")
