@@ -9,7 +9,7 @@ from pairloom.session import scratch_dir
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Parquet files under ``path`` as a stream; event times become TIMESTAMP.
+    """Parquet files in folder ``path`` (or one file) as a stream; event times become TIMESTAMP.
 
     ``max_files`` bounds a micro-batch, and with it every group of its rows.
     """
@@ -17,7 +17,12 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+        # A file source watches folders: watch the parent for this one file.
+        rows = reader.option("pathGlobFilter", hadoop.getName()).parquet(hadoop.getParent().toString())
+    else:
+        rows = reader.parquet(path)
     zoneless = [f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"]
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
