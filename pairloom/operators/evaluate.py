@@ -86,9 +86,9 @@ def lexical_metrics(
         "_o": normalize_text(F.col(original), mode, stopwords),
         "_p": normalize_text(F.col(paraphrase), mode, stopwords),
     })
-    ordered = tokens.withColumns({
-        "_so": F.sort_array("_o"), "_sp": F.sort_array("_p"), "_sb": F.sort_array(F.concat("_o", "_p")),
-    }).drop("_o", "_p")
+    ordered = tokens.withColumns({"_so": F.sort_array("_o"), "_sp": F.sort_array("_p")}).drop("_o", "_p")
+    # Two sorted runs: the sort only has to merge them.
+    ordered = ordered.withColumn("_sb", F.sort_array(F.concat("_so", "_sp")))
     ends = ordered.withColumns({
         "_o": S.run_ends(F.col("_so")), "_p": S.run_ends(F.col("_sp")), "_b": S.run_ends(F.col("_sb")),
     }).drop("_so", "_sp", "_sb")

@@ -251,7 +251,8 @@ def _(spark, sf):
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")
     kept = ResultsStore(spark, scratch_dir(spark, "memo"))
     d = read_stream(spark, f"{sf}/documents.parquet")
-    first = run_to_table(SS.stream_rewrite_and_score(d.where("lang = 'fr'").select("doc_id", "text")), "t1")
-    SS.remember(first, kept, now)
-    out = run_to_table(SS.stream_rewrite_and_score(d.select("doc_id", "text"), kept, now), "t1")
+    cores = spark.sparkContext.defaultParallelism
+    french = d.where("lang = 'fr'").select("doc_id", "text")
+    SS.remember(run_to_table(SS.stream_rewrite_and_score(french, parallel=cores), "t1"), kept, now)
+    out = run_to_table(SS.stream_rewrite_and_score(d.select("doc_id", "text"), kept, now, parallel=cores), "t1")
     return out.select("doc_id", *[r6(m).alias(m) for m in METRICS], "violation", "cached")
