@@ -33,17 +33,21 @@ def new_entries(values: DataFrame, now: Column, ttl: int | None = C.MEMO_TTL_SEC
     return values.select("key", "value", now.alias("created_at"), dies.cast("timestamp").alias("expires_at"))
 
 
-def latest(entries: DataFrame, version: str) -> DataFrame:
-    """Last written entry per key. Partial maxima are taken before the shuffle,
-    so a key that was written often is no hot key."""
-    picked = F.max_by(F.struct(*ENTRY), F.struct(version, "created_at", F.coalesce("value", F.lit("")))).alias("e")
-    return entries.groupBy("key").agg(picked).select("e.*")
+def latest(entries: DataFrame, order: Column) -> DataFrame:
+    """Last entry per key. Partial maxima are taken before the shuffle, so a key
+    that was written often is no hot key; each column is picked by itself, so
+    values that nobody reads are not shuffled."""
+    return entries.groupBy("key").agg(*[F.max_by(c, order).alias(c) for c in ENTRY if c != "key"])
+
+
+def _write_order(*before: str) -> Column:
+    return F.struct(*before, "created_at", F.coalesce("value", F.lit("")))
 
 
 def store_upsert(store: DataFrame, entries: DataFrame) -> DataFrame:
     """The store after writing the entries; the last write of a key wins."""
     both = store.select(*ENTRY, F.lit(0).alias("_v")).unionByName(entries.select(*ENTRY, F.lit(1).alias("_v")))
-    return latest(both, "_v")
+    return latest(both, _write_order("_v"))
 
 
 def cache_lookup(requests: DataFrame, store: DataFrame, now: Column, hot: DataFrame | None = None) -> DataFrame:
@@ -149,13 +153,13 @@ class ResultsStore:
         rows = self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/ver={v}" for v in versions])
         if len(versions) == 1:
             return rows.select(*ENTRY)  # a single write holds each key once
-        return latest(rows, "ver")
+        return latest(rows, F.col("ver"))
 
     def put(self, entries: DataFrame, version: int | None = None) -> None:
         """Append entries; within one write the latest entry of a key counts."""
         gen, versions = self._current()
         number = max(versions, default=-1) + 1 if version is None else version
-        once = latest(entries.select(*ENTRY).withColumn("_v", F.lit(0)), "_v")
+        once = latest(entries.select(*ENTRY), _write_order())
         once.write.mode("overwrite").parquet(f"{self.path}/gen={gen}/ver={number}")
 
     def rewrite(self, entries: DataFrame) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import admission as A
 from pairloom.operators.bucket import token_bucket_admit
-from pairloom.operators.runs import hierarchical_admit, sliding_window_admit
+from pairloom.operators.carried import hierarchical_admit, sliding_window_admit
 from pairloom.operators.store import ResultsStore
 from pairloom.operators.summaries import cache_stats
 from pairloom.plans.common import ORACLES, big, query, r6, sql_scores, table

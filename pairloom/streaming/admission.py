@@ -8,7 +8,6 @@ is passed on with NULL decisions, not dropped.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairloom import constants as C
 from pairloom.operators.bucket import TOKEN, level_units, refill_units
-from pairloom.operators.runs import sliding_step
+from pairloom.operators.carried import SlidingWindow
 
 ADMITTED = "k string, ts_us bigint, id bigint, admitted boolean, retry_after double, late boolean"
 SEEN = "k string, ts_us bigint, id bigint, hit boolean, late boolean"
@@ -88,21 +87,24 @@ def stream_sliding_admit(
     cost: Column | None = None, delay: str = "1 hour",
 ) -> DataFrame:
     window = round(seconds * 1_000_000)
+    limiter = SlidingWindow(limit, window)
 
     def judge(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         times, costs, last = state.get if state.exists else ([], [], None)
-        fold = {"live": deque(zip(times, costs)), "used": sum(costs)}
+        fold = limiter.start()
+        fold["live"].extend(zip(times, costs))
+        fold["used"] = sum(costs)
         out = []
         for t, i, price in _ordered(batches).itertuples(index=False):
             if last is not None and t < last:
                 out.append((group[0], t, i, None, None, True))
                 continue
             last = t
-            step = sliding_step(fold, {"k": group[0], "t": t, "id": i, "cost": price}, limit, window)
-            out.append((group[0], t, i, step[4], step[5] / 1e6, False))
+            admitted, wait = limiter.step(fold, t, (price,))
+            out.append((group[0], t, i, admitted, wait / 1e6, False))
         live = fold["live"]
         state.update(([int(t) for t, _ in live], [int(c) for _, c in live], int(last)))
         _expire(state, last + window)

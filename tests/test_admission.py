@@ -1,13 +1,14 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators.admission import fixed_window_admit, replay_cache
 from pairloom.operators.ordered import neighbour, ranked, sorted_chunks
-from pairloom.operators.runs import (
-    hierarchical_admit, hierarchical_step, sliding_start, sliding_step, sliding_window_admit,
+from pairloom.operators.carried import (
+    SharedAndOwn, SlidingWindow, cross, hierarchical_admit, sliding_window_admit,
 )
 from pairloom.operators.bucket import TOKEN
 
@@ -70,11 +71,12 @@ def test_sliding_equals_plain_loop(traffic, limit, seconds):
     got = {r.id: (r.admitted, r.retry_after) for r in
            sliding_window_admit(df, "k", "ts", "id", limit, seconds, cost=F.col("c")).collect()}
     want = {}
-    for k, mine in by_key(rows).items():
-        state = sliding_start()
+    limiter = SlidingWindow(limit, round(seconds * 1e6))
+    for mine in by_key(rows).values():
+        state = limiter.start()
         for t, i, c, _ in mine:
-            r = sliding_step(state, {"k": k, "t": t, "id": i, "cost": c}, limit, round(seconds * 1e6))
-            want[i] = (r[4], r[5] / 1e6)
+            admitted, wait = limiter.step(state, t, (c,))
+            want[i] = (admitted, wait / 1e6)
     assert got == want
 
 
@@ -87,15 +89,42 @@ def test_hierarchical_equals_plain_loop(traffic, shared, limits):
            hierarchical_admit(df, "k", "p", "ts", "id", shared, limits, cost=F.col("c")).collect()}
     units = lambda v: (round(v[0] * TOKEN), round(v[1] * 10**6))
     want = {}
-    for k, mine in by_key(rows).items():
+    limiter = SharedAndOwn(units(shared), {n: units(v) for n, v in limits.items()})
+    for mine in by_key(rows).values():
         state = {}
         for t, i, c, p in mine:
-            r = hierarchical_step(state, {"k": k, "t": t, "id": i, "cost": c * TOKEN, "provider": p},
-                                  units(shared), {n: units(v) for n, v in limits.items()})
-            want[i] = (r[5], r[6], round(r[7] / 1e6, 6))
+            admitted, by, wait = limiter.step(state, t, (p, c * TOKEN))
+            want[i] = (admitted, by, round(wait / 1e6, 6))
     assert got == want
 
 
+def test_crossing_equals_stepping():
+    rng = random.Random(2)
+    for case in range(200):
+        if case % 2:
+            limiter = SlidingWindow(rng.choice([1, 3, 10]), rng.choice([5, 50, 500]))
+            kinds = [(c,) for c in rng.sample([1, 2, 4, 20], 3)]
+        else:
+            limiter = SharedAndOwn((rng.choice([5, 20]), rng.choice([0, 1, 3])), {"a": (4, 1), "b": (6, rng.choice([0, 2]))})
+            kinds = [(p, c) for p in "abz" for c in (1, 3, 30)]
+        t = np.sort(np.array([rng.randint(0, 300) for _ in range(rng.randint(1, 150))]))
+        codes = np.array([rng.randrange(len(kinds)) for _ in t], dtype=np.int32)
+        warm = limiter.start()
+        for now in range(-20, 0):
+            limiter.step(warm, now, rng.choice(kinds))
+        stepped, crossed = limiter.load(limiter.dump(warm)), limiter.load(limiter.dump(warm))
+        for now, code in zip(t.tolist(), codes.tolist()):
+            limiter.step(stepped, now, kinds[code])
+        half = len(t) // 2
+        for part in (slice(0, half), slice(half, None)):
+            if len(t[part]):
+                cross(limiter, crossed, t[part], codes[part], kinds)
+        # probe both states: they must decide alike from here on
+        for now in range(int(t[-1]), int(t[-1]) + 600, 7):
+            kind = rng.choice(kinds)
+            assert limiter.step(stepped, now, kind) == limiter.step(crossed, now, kind), case
+
+
 def test_replay_golden(spark):
     got = replay_cache(frame(spark, [0, 4, 10, 11, 20, 21, 22]), "k", "ts", "id", 10).orderBy("id").collect()
     assert [r.hit for r in got] == [False, True, True, False, True, True, False]

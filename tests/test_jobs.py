@@ -12,7 +12,7 @@ from pairloom.streaming import admission as SA
 from pairloom.streaming.files import read_stream, run_to_table
 from pairloom.operators.bucket import token_bucket_admit
 from pairloom.operators.admission import replay_cache
-from pairloom.operators.runs import sliding_window_admit
+from pairloom.operators.carried import sliding_window_admit
 
 
 def at(seconds):
