@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom import constants as C
 from pairloom.operators.bucket import TOKEN, admit_by_bucket
-from pairloom.operators.ordered import micros, neighbour, ranked, sorted_chunks
+from pairloom.operators.ordered import micros, neighbours, ranked, sorted_chunks
 from pairloom.session import cut
 
 
@@ -66,40 +66,39 @@ def replay_cache(requests: DataFrame, key: str, ts: str, tie: str, ttl: float =
     first request later than the last one + ttl. Every request gets a pointer
     to that successor, and chains are followed from all their starts at once by
     doubling the pointers: the number of rounds is the logarithm of the longest
-    chain, and no step gathers a key.
+    chain between two idle spells, and no step gathers a key.
     """
     life = round(ttl * 1_000_000)
     rows = requests.select(F.col(key).cast("string").alias("k"), micros(requests, ts).alias("t"), F.col(tie).alias("id"))
-    # Only the first request of an instant can miss.
+    # Only the first request of an instant can miss. Each instant is a point,
+    # and a probe at the end of the life of an entry written by it.
     instants = rows.groupBy("k", "t").agg(F.min("id").alias("id"))
-    events = instants.select("k", F.col("t").alias("x"), F.lit(0).alias("probe"), "t").unionByName(
-        instants.select("k", (F.col("t") + life).alias("x"), F.lit(1).alias("probe"), "t")
+    events = instants.select("k", F.col("t").alias("x"), F.lit(0).alias("probe"), "t", "id").unionByName(
+        instants.select("k", (F.col("t") + life).alias("x"), F.lit(1).alias("probe"), "t", "id")
     )
     order = ["x", "probe", "t"]
-    chunks = sorted_chunks(events, ["k"], order)
-    point = F.when(F.col("probe") == 0, F.col("x"))
-    # Start: nothing in the ttl before it. Then its predecessor has expired.
-    starts = (
-        neighbour(chunks, ["k"], order, point, "prev", following=False)
-        .where((F.col("probe") == 0) & (F.col("prev").isNull() | (F.col("t") - F.col("prev") > life)))
-        .select("k", "t")
-    )
-    successors = (
-        neighbour(chunks, ["k"], order, point, "next", following=True)
-        .where((F.col("probe") == 1) & F.col("next").isNotNull())
-        .select("k", "t", "next")
-    )
-    misses = cut(starts)
-    # A start is reached anyway: chains end before the next one.
-    ahead = misses.select("k", F.col("t").alias("next"))
-    jump = cut(successors.join(ahead, ["k", "next"], "left_anti").select("k", "t", "next"))
-    while not jump.isEmpty():
-        found = misses.join(jump, ["k", "t"]).select("k", F.col("next").alias("t"))
-        misses = cut(misses.unionByName(found).distinct())
-        far = jump.select("k", F.col("t").alias("next"), F.col("next").alias("far"))
-        jump = cut(jump.join(far, ["k", "next"]).select("k", "t", F.col("far").alias("next")))
-    first_ids = instants.join(misses, ["k", "t"]).select("k", "t", "id", F.lit(False).alias("_hit"))
-    return rows.join(first_ids, ["k", "t", "id"], "left").select(
+    point = F.when(F.col("probe") == 0, F.struct(F.col("x").alias("t"), "id"))
+    near = neighbours(sorted_chunks(events, ["k"], order), ["k"], order, point)
+    # A start has nothing in the ttl before it: whatever was there has expired.
+    start = (F.col("probe") == 0) & (F.col("prev").isNull() | (F.col("t") - F.col("prev.t") > life))
+    # A successor that is a start is reached anyway: chains end before it.
+    linked = (F.col("probe") == 1) & F.col("next").isNotNull() & (F.col("next.t") - F.col("prev.t") <= life)
+    # probe 0: a known miss; probe 1: a link from an instant to its successor.
+    links = cut(near.where(start | linked).select("k", "t", "id", "probe", "next"))
+    while True:
+        misses, jump = links.where("probe = 0"), links.where("probe = 1")
+        if jump.isEmpty():
+            break
+        reached = misses.select("k", "t").join(jump, ["k", "t"]).select("k", "next.t", "next.id")
+        far = jump.select("k", F.col("t").alias("_at"), F.col("next").alias("_far"))
+        onward = jump.withColumn("_at", F.col("next.t")).join(far, ["k", "_at"])
+        known = misses.select("k", "t", "id").unionByName(reached).distinct()
+        links = cut(
+            known.select("k", "t", "id", F.lit(0).alias("probe"), F.lit(None).cast(jump.schema["next"].dataType).alias("next"))
+            .unionByName(onward.select("k", "t", "id", "probe", F.col("_far").alias("next")))
+        )
+    missed = misses.select("k", "id", F.lit(False).alias("_hit"))
+    return rows.join(missed, ["k", "id"], "left").select(
         F.col("k").alias(key), F.col("t").alias("ts_us"), F.col("id").alias(tie),
         F.coalesce("_hit", F.lit(True)).alias("hit"),
     )

@@ -15,9 +15,8 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE, sample: float
     At most 1/share keys can pass, so the result may be broadcast. The choice
     only steers the salting; it has no effect on results.
     """
-    counts = rows.select(key).sample(sample, 17).groupBy(key).count()
-    total = counts.agg(F.sum("count").alias("_n"))  # one row
-    return counts.crossJoin(F.broadcast(total)).where(F.col("count") > share * F.col("_n")).select(key)
+    sampled = rows.select(key).sample(sample, 17)
+    return sampled.groupBy(key).count().where(F.col("count") > share * sampled.count()).select(key)
 
 
 def lookup(

@@ -70,30 +70,30 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     return out.withColumn(name, number).drop("_local", "_before", "chunk", "idx", "_all")
 
 
-def neighbour(
-    chunks: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, following: bool
-) -> DataFrame:
-    """Nearest non-NULL ``value`` strictly before (or after) each row of its key.
+def neighbours(chunks: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
+    """Adds ``prev`` and ``next``: the nearest non-NULL ``value`` strictly before
+    and after each row among the rows of its key.
 
     ``chunks`` comes from :func:`sorted_chunks` on the same keys and order.
     """
-    by = [F.col(c).desc() if following else F.col(c).asc() for c in order]
-    chunk_by = F.col("chunk").desc() if following else F.col("chunk").asc()
-    inside = Window.partitionBy("chunk", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy(chunk_by).rowsBetween(Window.unboundedPreceding, -1)
-    pick = F.min_by if following else F.max_by
-    edges = chunks.withColumn("_v", value).groupBy(*keys, "chunk").agg(
-        pick("_v", F.when(F.col("_v").isNotNull(), F.col("idx"))).alias("_edge")
-    )
+    valued = chunks.withColumn("_v", value)
+    place = F.when(F.col("_v").isNotNull(), F.col("idx"))
+    edges = valued.groupBy(*keys, "chunk").agg(F.min_by("_v", place).alias("_low"), F.max_by("_v", place).alias("_high"))
+    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        edges.withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
-        .drop("_edge")
-        .where(F.col("_carry").isNotNull())
+        edges.withColumn("_before", F.last("_high", ignorenulls=True).over(earlier))
+        .withColumn("_after", F.last("_low", ignorenulls=True).over(later))
+        .drop("_low", "_high")
+        .where(F.col("_before").isNotNull() | F.col("_after").isNotNull())
     )
-    near = F.last(value, ignorenulls=True).over(inside)
+    inside = Window.partitionBy("chunk", *keys)
+    up = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    down = inside.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        chunks.withColumn("_near", near)
+        valued.withColumn("prev", F.last("_v", ignorenulls=True).over(up))
+        .withColumn("next", F.last("_v", ignorenulls=True).over(down))
         .join(F.broadcast(carried), [*keys, "chunk"], "left")
-        .withColumn(name, F.coalesce("_near", "_carry"))
-        .drop("_near", "_carry")
+        .withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")})
+        .drop("_v", "_before", "_after")
     )

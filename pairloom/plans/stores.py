@@ -192,9 +192,12 @@ def _(spark, sf):
 def _(spark, sf):
     kept = S.ResultsStore(spark, scratch_dir(spark, "store"))
     kept.put(entries(spark, sf, "view"))
-    before = kept.read().agg(F.count("*").alias("n_before"))
+    before = kept.read().select(F.lit("before").alias("at"))
     kept.clear()
-    return before.crossJoin(kept.read().agg(F.count("*").alias("n_after")))  # one row each
+    both = before.unionByName(kept.read().select(F.lit("after").alias("at")))
+    return both.agg(
+        F.count_if(F.col("at") == "before").alias("n_before"), F.count_if(F.col("at") == "after").alias("n_after")
+    )
 
 
 @query("c4_store_purge_expired", f"SELECT {SHOWN} FROM {sql_store('signup')} WHERE {LIVE}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import strip_text
+from pairloom.operators.ordered import ranked
 
 PAIR_SCHEMA = "text1 string, text2 string"
 LOG_SCHEMA = (
@@ -38,6 +39,18 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("text")).where(F.col("text") != "")
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, text) of the non-blank lines, numbered from 0 in file order."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+        strip_text(F.col("value")).alias("text"),
+    )
+    numbered = ranked(lines.where(F.col("text") != ""), [], ["_file", "_block", "_row"], "_rn")
+    return numbered.select((F.col("_rn") - 1).alias("pos"), "text")
+
+
 def texts_from_list(spark: SparkSession, texts: str | Sequence[str], batch_id: str = "batch") -> DataFrame:
     """A single text or a list becomes (batch_id, pos, text)."""
     rows = [texts] if isinstance(texts, str) else list(texts)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators.admission import fixed_window_admit, replay_cache
-from pairloom.operators.ordered import neighbour, ranked, sorted_chunks
+from pairloom.operators.ordered import neighbours, ranked, sorted_chunks
 from pairloom.operators.carried import (
     SharedAndOwn, SlidingWindow, cross, hierarchical_admit, sliding_window_admit,
 )
@@ -153,8 +153,9 @@ def test_ranked_and_neighbour(spark, traffic):
     ch = sorted_chunks(df, ["k"], ["ts", "id"])
     assert ch.where("k = 'hot'").select("chunk").distinct().count() >= 4
     odd = F.when(F.col("c") == 5, F.col("id"))
+    found = neighbours(ch, ["k"], ["ts", "id"], odd).collect()
     for following in (False, True):
-        got = {r.id: r.near for r in neighbour(ch, ["k"], ["ts", "id"], odd, "near", following).collect()}
+        got = {r.id: r.next if following else r.prev for r in found}
         want = {}
         for mine in by_key(rows).values():
             last = None

@@ -193,3 +193,23 @@ def test_state_crosses_micro_batches(spark, event_files, kind):
         want, value = replay_cache(e, "k", "ts", "event_id", week), "hit"
     got = {r.event_id: r[value] for r in run_to_table(out, kind).collect() if not r.late}
     assert got == {r.event_id: r[value] for r in want.collect()}
+
+
+def test_file_to_report(spark, tmp_path):
+    from pairloom.plans.jobs import rewrite_file, score_texts
+
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)] + ["", "y" * 10_001]
+    (tmp_path / "in.txt").write_text("\n".join(lines), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # several splits
+    try:
+        store = S.ResultsStore(spark, str(tmp_path / "store"))
+        outcome, bad = rewrite_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), store, at(0))
+        assert (outcome.first().total, outcome.first().successful) == (3000, 3000)
+        assert [r.pos for r in bad.collect()] == [3000]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).split("\n")
+    assert text[0:-1:3] == [f"Original: {t.strip()}" for t in lines[:3000]]
+    o = spark.createDataFrame([("b", 0, "One two")], "batch_id string, pos bigint, text string")
+    scored, summary = score_texts(o, o)
+    assert scored.first().word_overlap == 1.0 and summary.first().total_evaluations == 1
