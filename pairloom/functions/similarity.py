@@ -35,10 +35,8 @@ def run_ends(sorted_tokens: Column) -> Column:
 
 def squared_runs(ends: Column) -> Column:
     """Sum of the squared run lengths, from a column of :func:`run_ends`."""
-    squares = F.transform(
-        ends, lambda e, i: F.pow(e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)), F.lit(2)).cast("long")
-    )
-    return F.aggregate(squares, F.lit(0).cast("long"), lambda acc, c: acc + c)
+    lengths = F.transform(ends, lambda e, i: (e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))).cast("long"))
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, n: acc + n * n)
 
 
 def tf_cosine(dot: Column, norm2_original: Column, norm2_rewrite: Column) -> Column:

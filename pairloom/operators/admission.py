@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom import constants as C
 from pairloom.operators.bucket import TOKEN, admit_by_bucket
-from pairloom.operators.ordered import micros, neighbours, ranked, sorted_chunks
+from pairloom.operators.ordered import key_back, key_text, micros, neighbours, ranked, sorted_chunks
 from pairloom.session import cut
 
 
@@ -69,7 +69,7 @@ def replay_cache(requests: DataFrame, key: str, ts: str, tie: str, ttl: float =
     chain between two idle spells, and no step gathers a key.
     """
     life = round(ttl * 1_000_000)
-    rows = requests.select(F.col(key).cast("string").alias("k"), micros(requests, ts).alias("t"), F.col(tie).alias("id"))
+    rows = requests.select(key_text(key), micros(requests, ts).alias("t"), F.col(tie).alias("id"))
     # Only the first request of an instant can miss. Each instant is a point,
     # and a probe at the end of the life of an entry written by it.
     instants = rows.groupBy("k", "t").agg(F.min("id").alias("id"))
@@ -99,6 +99,6 @@ def replay_cache(requests: DataFrame, key: str, ts: str, tie: str, ttl: float =
         )
     missed = misses.select("k", "id", F.lit(False).alias("_hit"))
     return rows.join(missed, ["k", "id"], "left").select(
-        F.col("k").alias(key), F.col("t").alias("ts_us"), F.col("id").alias(tie),
+        key_back(key), F.col("t").alias("ts_us"), F.col("id").alias(tie),
         F.coalesce("_hit", F.lit(True)).alias("hit"),
     )

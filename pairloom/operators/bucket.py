@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordered import micros, sorted_chunks
+from pairloom.operators.ordered import key_back, key_text, micros, sorted_chunks, with_carried
 
 TOKEN = 10**12  # level units per token
 REFILL = 10**6  # level units per microsecond, for a refill of one token per second
@@ -269,7 +269,7 @@ def admit_by_bucket(requests: DataFrame) -> DataFrame:
         .applyInPandas(starting_levels, STARTS)
     )
     return (
-        chunks.join(F.broadcast(starts), ["k", "chunk"], "left")
+        with_carried(chunks, starts, ["k"])
         .select(
             "k", "t", "id", "cost", "cap", "rate",
             F.coalesce("start_level", F.lit(-1)).alias("start_level"),
@@ -299,21 +299,21 @@ def token_bucket_admit(
     """
     price = F.lit(TOKEN).cast("bigint") if cost is None else F.round(cost * TOKEN).cast("bigint")
     rows = requests.select(
-        F.col(key).cast("string").alias("k"), micros(requests, ts).alias("t"), F.col(tie).alias("id"), price.alias("cost")
+        key_text(key), micros(requests, ts).alias("t"), F.col(tie).alias("id"), price.alias("cost")
     )
     if limits is None:
         rows = rows.withColumn("cap", F.lit(level_units(capacity)).cast("bigint"))
         rows = rows.withColumn("rate", F.lit(refill_units(refill)).cast("bigint"))
     else:
         dim = limits.select(
-            F.col(key).cast("string").alias("k"),
+            key_text(key),
             F.round(F.col("capacity") * TOKEN).cast("bigint").alias("cap"),
             F.round(F.col("refill") * REFILL).cast("bigint").alias("rate"),
         )
         rows = rows.join(dim, "k", "left").fillna({"cap": UNLIMITED, "rate": 0})
     decided = admit_by_bucket(rows)
     return decided.select(
-        F.col("k").alias(key),
+        key_back(key),
         F.col("t").alias("ts_us"),
         F.col("id").alias(tie),
         (F.col("cost") / F.lit(float(TOKEN))).alias("cost"),

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.bucket import TOKEN, level_units, refill_units
-from pairloom.operators.ordered import micros, sorted_chunks
+from pairloom.operators.ordered import key_back, key_text, micros, sorted_chunks
 
 SUMMARY = "k string, chunk int, piece int, state string, times binary, codes binary, classes string"
 ENTRIES = "k string, chunk int, state string"
@@ -303,12 +303,12 @@ def sliding_window_admit(
     """
     price = F.lit(1) if cost is None else cost
     rows = requests.select(
-        F.col(key).cast("string").alias("k"), micros(requests, ts).alias("t"), F.col(tie).cast("bigint").alias("id"),
+        key_text(key), micros(requests, ts).alias("t"), F.col(tie).cast("bigint").alias("id"),
         price.cast("bigint").alias("cost"),
     )
     decided = admit_in_order(rows, SlidingWindow(limit, round(seconds * 1_000_000)))
     return decided.select(
-        F.col("k").alias(key), F.col("t").alias("ts_us"), F.col("id").alias(tie), "cost", "admitted",
+        key_back(key), F.col("t").alias("ts_us"), F.col("id").alias(tie), "cost", "admitted",
         (F.col("retry_us") / 1e6).alias("retry_after"),
     )
 
@@ -334,12 +334,12 @@ def hierarchical_admit(
     )
     price = F.lit(TOKEN).cast("bigint") if cost is None else F.round(cost * TOKEN).cast("bigint")
     rows = requests.select(
-        F.col(scope).cast("string").alias("k"), micros(requests, ts).alias("t"), F.col(tie).cast("bigint").alias("id"),
+        key_text(scope), micros(requests, ts).alias("t"), F.col(tie).cast("bigint").alias("id"),
         F.coalesce(F.col(provider), F.lit("")).alias("provider"), price.alias("cost"),
     )
     decided = admit_in_order(rows, limiter)
     return decided.select(
-        F.col("k").alias(scope), F.col("t").alias("ts_us"), F.col("id").alias(tie), F.col("provider").alias(provider),
+        key_back(scope), F.col("t").alias("ts_us"), F.col("id").alias(tie), F.col("provider").alias(provider),
         (F.col("cost") / F.lit(float(TOKEN))).alias("cost"), "admitted", "refused_by",
         (F.col("retry_us") / 1e6).alias("retry_after"),
     )

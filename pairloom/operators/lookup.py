@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 HOT_SHARE = 0.005  # a key above this share of the rows is hot: at most 200 of them
+HOT_SAMPLED = 30  # fewer sampled rows than this say nothing
 
 
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE, sample: float = 0.01) -> DataFrame:
@@ -16,7 +17,8 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE, sample: float
     only steers the salting; it has no effect on results.
     """
     sampled = rows.select(key).sample(sample, 17)
-    return sampled.groupBy(key).count().where(F.col("count") > share * sampled.count()).select(key)
+    least = max(share * sampled.count(), HOT_SAMPLED)
+    return sampled.groupBy(key).count().where(F.col("count") > least).select(key)
 
 
 def lookup(

@@ -31,6 +31,29 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.round(col * 1_000_000).cast("bigint")
 
 
+NO_KEY = "\x00"  # stands for a NULL key where keys are compared in Python
+
+
+def key_text(name: str) -> Column:
+    """The key as text; NULL is a key like any other."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(NO_KEY)).alias("k")
+
+
+def key_back(name: str) -> Column:
+    return F.nullif(F.col("k"), F.lit(NO_KEY)).alias(name)
+
+
+def with_carried(chunks: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of the values carried into a chunk: at most one row per chunk,
+    so they are broadcast. NULL keys match."""
+    names = {c: f"_r_{c}" for c in [*keys, "chunk"]}
+    right = F.broadcast(carried.withColumnsRenamed(names))
+    match = F.lit(True)
+    for c, r in names.items():
+        match = match & F.col(c).eqNullSafe(F.col(r))
+    return chunks.join(right, match, "left").drop(*names.values())
+
+
 def sorted_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows range-partitioned and sorted on keys + order, with ``chunk``, ``idx``.
 
@@ -65,7 +88,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     if not keys:
         # one group: the position in the chunk is already the local number
         local = F.col("idx") + 1
-    out = chunks.withColumn("_local", local).join(F.broadcast(carried), [*grouped, "chunk"], "left")
+    out = with_carried(chunks.withColumn("_local", local), carried, grouped)
     number = (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint")
     return out.withColumn(name, number).drop("_local", "_before", "chunk", "idx", "_all")
 
@@ -90,10 +113,11 @@ def neighbours(chunks: DataFrame, keys: Sequence[str], order: Sequence[str], val
     inside = Window.partitionBy("chunk", *keys)
     up = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     down = inside.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    near = valued.withColumn("prev", F.last("_v", ignorenulls=True).over(up)).withColumn(
+        "next", F.last("_v", ignorenulls=True).over(down)
+    )
     return (
-        valued.withColumn("prev", F.last("_v", ignorenulls=True).over(up))
-        .withColumn("next", F.last("_v", ignorenulls=True).over(down))
-        .join(F.broadcast(carried), [*keys, "chunk"], "left")
+        with_carried(near, carried, keys)
         .withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")})
         .drop("_v", "_before", "_after")
     )

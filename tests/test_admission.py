@@ -10,7 +10,7 @@ from pairloom.operators.ordered import neighbours, ranked, sorted_chunks
 from pairloom.operators.carried import (
     SharedAndOwn, SlidingWindow, cross, hierarchical_admit, sliding_window_admit,
 )
-from pairloom.operators.bucket import TOKEN
+from pairloom.operators.bucket import TOKEN, token_bucket_admit
 
 TIMES = [0, 0, 0, 0, 1, 2, 2.5, 10, 10, 10, 10]
 
@@ -163,3 +163,18 @@ def test_ranked_and_neighbour(spark, traffic):
                 want[i] = last
                 last = i if c == 5 else last
         assert got == want
+
+
+def test_null_keys_are_one_key(spark, traffic):
+    rows, df = traffic
+    nulls = df.withColumn("k", F.nullif("k", F.lit("hot")))
+    for admit in (
+        lambda d: token_bucket_admit(d, "k", "ts", "id", 5, 0.5),
+        lambda d: sliding_window_admit(d, "k", "ts", "id", 5, 20),
+        lambda d: hierarchical_admit(d, "k", "p", "ts", "id", (4, 0.1), {"a": (1, 0.01)}),
+        lambda d: fixed_window_admit(d, "k", "ts", "id", 5, 500),
+        lambda d: fixed_window_admit(d, "k", "ts", "id", 5, 500, cost=F.col("c")),
+        lambda d: replay_cache(d, "k", "ts", "id", 30).withColumnRenamed("hit", "admitted"),
+    ):
+        a, b = ({r.id: (r.k, r.admitted) for r in admit(d).collect()} for d in (df, nulls))
+        assert {i: (None if k == "hot" else k, v) for i, (k, v) in a.items()} == b
