@@ -8,6 +8,8 @@ from pairloom import constants as C
 from pairloom.functions import requests as R
 from pairloom.functions import text as T
 from pairloom.operators import pairing, providers, summaries, validate
+from pairloom.operators.store import ResultsStore
+from pairloom.plans import jobs
 from pairloom.plans.common import PAIRS, big, conversation_pairs, query, quoted, r6, sql_strip, table
 from pairloom.session import scratch_dir
 from pairloom.sources import readers, writers
@@ -506,3 +508,32 @@ def _(spark, sf):
         "provider", F.unix_micros("window_start").alias("window_us"), "n_requests", "capacity",
         r6("used_share").alias("used_share"), "over_limit",
     )
+
+
+LINE = FLAT.format("text")
+
+
+@query(
+    "e1_rewrite_file",
+    f"""
+    WITH lines AS (SELECT {sql_strip('t')} AS t FROM (SELECT {LINE} AS t FROM documents)),
+    ok AS (SELECT * FROM lines WHERE t <> '' AND length(t) <= 10000)
+    SELECT count(*) AS total, count(*) AS successful, CAST(0 AS BIGINT) AS fallback, CAST(0 AS BIGINT) AS failed,
+      1.0::DOUBLE AS success_rate, (SELECT count(*) FROM lines WHERE length(t) > 10000) AS quarantined,
+      3 * count(*) AS report_lines FROM ok
+    """,
+)
+def _(spark, sf):
+    base = scratch_dir(spark, "file")
+    table(spark, sf, "documents").select(flat("text")).write.text(base + "/in")
+    store = ResultsStore(spark, base + "/store")
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    outcome, bad = jobs.rewrite_file(spark, base + "/in", base + "/report", store, now)
+    written = spark.read.text(base + "/report").agg(F.count("*").alias("report_lines"))
+    one = F.lit(1).alias("one")
+    return (
+        outcome.select("*", one)
+        .join(bad.agg(F.count("*").alias("quarantined")).select("*", one), "one")
+        .join(written.select("*", one), "one")
+        .drop("one")
+    )
