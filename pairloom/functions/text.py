@@ -73,6 +73,21 @@ def split_contractions(text: Column) -> Column:
     return text
 
 
+def candidate_words(text: Column, mode: str = "full", contractions: bool = False) -> Column:
+    """Words to be tested by :func:`is_wanted`; there may be empty ones."""
+    if mode not in ("full", "basic"):
+        raise ValueError(f"mode must be 'full' or 'basic', not {mode!r}")
+    gaps = _OTHER_SPACE + C.TYPOGRAPHIC_QUOTES if mode == "full" else _OTHER_SPACE
+    return _words_of(text, gaps, contractions)
+
+
+def is_wanted(word: Column, mode: str = "full", stopwords: Sequence[str] = C.STOPWORDS) -> Column:
+    if mode == "basic":
+        return word != ""
+    wanted = word.rlike(C.ALNUM_TOKEN)
+    return ~word.isin(*stopwords) & wanted if stopwords else wanted
+
+
 def normalize_text(
     text: Column,
     mode: str = "full",
@@ -86,18 +101,7 @@ def normalize_text(
     letters and digits. Stopwords are tested after punctuation is gone, so
     ``don't`` is the kept token ``dont``.
     """
-    if mode == "basic":
-        return tokenize(text)
-    if mode != "full":
-        raise ValueError(f"mode must be 'full' or 'basic', not {mode!r}")
-    words = _words_of(text, _OTHER_SPACE + C.TYPOGRAPHIC_QUOTES, contractions)
-
-    def wanted(t: Column) -> Column:
-        ok = t.rlike(C.ALNUM_TOKEN)
-        return ~t.isin(*stopwords) & ok if stopwords else ok
-
-    # An empty word at an edge is not alphanumeric either.
-    return F.filter(words, wanted)
+    return F.filter(candidate_words(text, mode, contractions), lambda w: is_wanted(w, mode, stopwords))
 
 
 def sentence_count(text: Column) -> Column:

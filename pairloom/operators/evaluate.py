@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom import constants as C
 from pairloom.functions import similarity as S
-from pairloom.functions.text import normalize_text, split_words, strip_punct
+from pairloom.functions.text import candidate_words, is_wanted, normalize_text, split_words
 
 RECORD = (
     "lexical_similarity", "word_overlap", "jaccard_similarity", "length_ratio", "sentence_count_diff",
@@ -28,15 +28,15 @@ def token_counts(
 ) -> DataFrame:
     """Term frequencies (keys, token, n_o, n_p) of both sides of each pair.
 
-    Both sides are exploded in one pass; partial counts are taken before the
-    shuffle. ``lemmas`` (token, lemma) replaces tokens by their lemma; counts
-    are already per pair and token when the table is joined.
+    Both sides are exploded in one pass and tokens are tested as rows, which
+    compiles; partial counts are taken before the shuffle, and there is none if
+    the pairs are partitioned by the keys already. ``lemmas`` (token, lemma)
+    replaces tokens by their lemma; counts are already per pair and token when
+    the table is joined.
     """
-    tagged = F.concat(
-        F.transform(normalize_text(F.col(original), mode, stopwords), lambda t: F.struct(t.alias("token"), F.lit(0).alias("side"))),
-        F.transform(normalize_text(F.col(paraphrase), mode, stopwords), lambda t: F.struct(t.alias("token"), F.lit(1).alias("side"))),
-    )
-    rows = pairs.select(*keys, F.explode(tagged).alias("x")).select(*keys, "x.token", "x.side")
+    sides = F.posexplode(F.array(original, paraphrase)).alias("side", "text")
+    words = pairs.select(*keys, sides).select(*keys, "side", F.explode(candidate_words(F.col("text"), mode)).alias("token"))
+    rows = words.where(is_wanted(F.col("token"), mode, stopwords))
     counts = rows.groupBy(*keys, "token").agg(
         F.count_if(F.col("side") == 0).alias("n_o"), F.count_if(F.col("side") == 1).alias("n_p")
     )
