@@ -128,5 +128,3 @@ MAX_RETRIES = 3
 RETRY_DELAY = 1.0
 MEMO_TTL_SECONDS = 3600
 MEMO_PREFIX = "paraphrase"
-STORE_MAX_ROWS = 1_000
-MAX_TOKENS = 128

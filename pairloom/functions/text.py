@@ -62,7 +62,7 @@ def keep_alnum(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t.rlike(C.ALNUM_TOKEN))
 
 
-def truncate_tokens(tokens: Column, n: int = C.MAX_TOKENS) -> Column:
+def truncate_tokens(tokens: Column, n: int) -> Column:
     return F.slice(tokens, 1, n)
 
 
@@ -105,4 +105,5 @@ def normalize_text(
 
 
 def sentence_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(C.SENTENCE), F.lit(0)))
+    """Runs of text between terminators; runs of white space alone are none."""
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit(C.SENTENCE), F.lit(0)), lambda s: ~is_blank(F.regexp_replace(s, "[.!?]+$", ""))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom import constants as C
 from pairloom.operators.bucket import TOKEN, admit_by_bucket
-from pairloom.operators.ordered import key_back, key_text, micros, neighbours, ranked, sorted_chunks
+from pairloom.operators.ordered import key_back, key_text, micros, neighbours, ranked, sorted_chunks, whole
 from pairloom.session import cut
 
 
@@ -28,7 +28,7 @@ def fixed_window_admit(
     width = seconds * 1_000_000
     rows = requests.select(
         F.col(key).alias(key), micros(requests, ts).alias("ts_us"), F.col(tie).alias(tie),
-        (F.lit(1) if cost is None else cost).cast("bigint").alias("cost"),
+        (F.lit(1).cast("bigint") if cost is None else whole(cost)).alias("cost"),
     ).withColumn("window_no", F.floor(F.col("ts_us") / width).cast("bigint"))
     if cost is None:
         decided = ranked(rows, [key, "window_no"], ["ts_us", tie], "rn").withColumn(
@@ -99,6 +99,6 @@ def replay_cache(requests: DataFrame, key: str, ts: str, tie: str, ttl: float =
         )
     missed = misses.select("k", "id", F.lit(False).alias("_hit"))
     return rows.join(missed, ["k", "id"], "left").select(
-        key_back(key), F.col("t").alias("ts_us"), F.col("id").alias(tie),
+        key_back(requests, key), F.col("t").alias("ts_us"), F.col("id").alias(tie),
         F.coalesce("_hit", F.lit(True)).alias("hit"),
     )

@@ -279,6 +279,13 @@ def admit_by_bucket(requests: DataFrame) -> DataFrame:
     )
 
 
+def exact(value: Column, unit: int) -> Column:
+    """``value`` in whole units; raises where rounding would change it, as 3e-7 would become 0."""
+    units = F.round(value * unit)
+    off = F.abs(units - value * unit) > 1e-6 * F.greatest(F.lit(1.0), F.abs(units))
+    return F.when(off, F.raise_error(F.concat(F.lit("refill is finer than a unit: "), value.cast("string"))).cast("double")).otherwise(units).cast("bigint")
+
+
 def token_bucket_admit(
     requests: DataFrame,
     key: str,
@@ -308,12 +315,12 @@ def token_bucket_admit(
         dim = limits.select(
             key_text(key),
             F.round(F.col("capacity") * TOKEN).cast("bigint").alias("cap"),
-            F.round(F.col("refill") * REFILL).cast("bigint").alias("rate"),
+            exact(F.col("refill"), REFILL).alias("rate"),
         )
         rows = rows.join(dim, "k", "left").fillna({"cap": UNLIMITED, "rate": 0})
     decided = admit_by_bucket(rows)
     return decided.select(
-        key_back(key),
+        key_back(requests, key),
         F.col("t").alias("ts_us"),
         F.col("id").alias(tie),
         (F.col("cost") / F.lit(float(TOKEN))).alias("cost"),

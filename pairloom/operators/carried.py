@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.bucket import TOKEN, level_units, refill_units
-from pairloom.operators.ordered import key_back, key_text, micros, sorted_chunks
+from pairloom.operators.ordered import NO_KEY, key_back, key_text, micros, sorted_chunks, whole
 
 SUMMARY = "k string, chunk int, piece int, state string, times binary, codes binary, classes string"
 ENTRIES = "k string, chunk int, state string"
@@ -301,14 +301,14 @@ def sliding_window_admit(
     An admission exactly ``seconds`` old no longer counts. ``retry_after`` is
     the time until the oldest counted admission leaves the window.
     """
-    price = F.lit(1) if cost is None else cost
+    price = F.lit(1).cast("bigint") if cost is None else whole(cost)
     rows = requests.select(
         key_text(key), micros(requests, ts).alias("t"), F.col(tie).cast("bigint").alias("id"),
-        price.cast("bigint").alias("cost"),
+        price.alias("cost"),
     )
     decided = admit_in_order(rows, SlidingWindow(limit, round(seconds * 1_000_000)))
     return decided.select(
-        key_back(key), F.col("t").alias("ts_us"), F.col("id").alias(tie), "cost", "admitted",
+        key_back(requests, key), F.col("t").alias("ts_us"), F.col("id").alias(tie), "cost", "admitted",
         (F.col("retry_us") / 1e6).alias("retry_after"),
     )
 
@@ -335,11 +335,11 @@ def hierarchical_admit(
     price = F.lit(TOKEN).cast("bigint") if cost is None else F.round(cost * TOKEN).cast("bigint")
     rows = requests.select(
         key_text(scope), micros(requests, ts).alias("t"), F.col(tie).cast("bigint").alias("id"),
-        F.coalesce(F.col(provider), F.lit("")).alias("provider"), price.alias("cost"),
+        F.coalesce(F.col(provider), F.lit(NO_KEY)).alias("provider"), price.alias("cost"),
     )
     decided = admit_in_order(rows, limiter)
     return decided.select(
-        key_back(scope), F.col("t").alias("ts_us"), F.col("id").alias(tie), F.col("provider").alias(provider),
+        key_back(requests, scope), F.col("t").alias("ts_us"), F.col("id").alias(tie), F.nullif("provider", F.lit(NO_KEY)).alias(provider),
         (F.col("cost") / F.lit(float(TOKEN))).alias("cost"), "admitted", "refused_by",
         (F.col("retry_us") / 1e6).alias("retry_after"),
     )

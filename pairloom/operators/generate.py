@@ -32,7 +32,9 @@ def offline_reply(text: str) -> str:
 
 
 def call_with_retries(fn: Callable, args: tuple, max_retries: int, delay: float) -> tuple:
-    """(result, attempts, error, seconds); the result of a failed call is None."""
+    """(result, attempts, error, seconds); the result of a failed call is None. NULL is not called."""
+    if args[0] is None:
+        return None, 0, None, 0.0
     began = time.perf_counter()
     error = None
     for attempt in range(max_retries + 1):

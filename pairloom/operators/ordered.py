@@ -39,8 +39,15 @@ def key_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(NO_KEY)).alias("k")
 
 
-def key_back(name: str) -> Column:
-    return F.nullif(F.col("k"), F.lit(NO_KEY)).alias(name)
+def key_back(df: DataFrame, name: str) -> Column:
+    """The key in the type it has in ``df``."""
+    return F.nullif(F.col("k"), F.lit(NO_KEY)).cast(df.schema[name].dataType).alias(name)
+
+
+def whole(cost: Column) -> Column:
+    """A cost in whole units; one with a fraction raises, as it cannot be counted exactly."""
+    wrong = F.raise_error(F.concat(F.lit("cost must be a whole number: "), cost.cast("string")))
+    return F.when(cost == F.floor(cost), cost.cast("bigint")).when(cost.isNotNull(), wrong.cast("bigint"))
 
 
 def with_carried(chunks: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:

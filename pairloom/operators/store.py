@@ -96,16 +96,18 @@ def store_purge_expired(store: DataFrame, now: Column) -> DataFrame:
     return live(store, now)
 
 
-def store_compact(store: DataFrame, now: Column, max_rows: int = C.STORE_MAX_ROWS) -> DataFrame:
-    """Make room in a full store: drop expired entries, then, if it is still
-    full, the quarter that was created first."""
-    if store.count() < max_rows:
-        return store
+def store_compact(store: DataFrame, now: Column, max_rows: int) -> DataFrame:
+    """Drop expired entries; if ``max_rows`` or more are left, also the quarter that was created first.
+
+    Only creation time and key are ranked, to find the last entry to go; the store is then filtered by it.
+    """
     kept = store_purge_expired(store, now)
     n = kept.count()
-    if n < max_rows:
+    if n < max_rows or n < 4:
         return kept
-    return ranked(kept, [], ["created_at", "key"], "_rn").where(F.col("_rn") > n // 4).drop("_rn")
+    last = ranked(kept.select("created_at", "key"), [], ["created_at", "key"], "_rn").where(F.col("_rn") == n // 4).first()
+    at, key = F.lit(last["created_at"]), F.lit(last["key"])
+    return kept.where((F.col("created_at") > at) | (F.col("created_at") == at) & (F.col("key") > key))
 
 
 class ResultsStore:
@@ -176,5 +178,5 @@ class ResultsStore:
     def purge(self, now: Column) -> None:
         self.rewrite(store_purge_expired(self.read(), now))
 
-    def compact(self, now: Column, max_rows: int = C.STORE_MAX_ROWS) -> None:
+    def compact(self, now: Column, max_rows: int) -> None:
         self.rewrite(store_compact(self.read(), now, max_rows))

@@ -27,51 +27,37 @@ def batch_outcome(results: DataFrame, by: Sequence[str] = ("batch_id",), result:
     })
 
 
-def job_status(
-    jobs: DataFrame, items: DataFrame, errors: DataFrame, max_items: int = C.MAX_BATCH_TEXTS
-) -> DataFrame:
-    """One row per job: status, counts, ordered results, errors, duration.
+def job_status(jobs: DataFrame, items: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row per job: status, counts, success rate, duration.
 
-    ``jobs`` (job_id, status, created_at, completed_at), ``items`` (job_id, pos,
-    result), ``errors`` (job_id, error, at). A job above ``max_items`` fails its
-    size check and has no results, so a result list is never longer than that.
-    Error lists belong to jobs, not to items;
-    a longer list than that is left to the ``errors`` table and only counted.
+    ``jobs`` (job_id, status, created_at, completed_at), ``items`` (job_id, pos, result), ``errors`` (job_id,
+    error, at). Results and errors of a job of any size are rows: see ``job_results`` and ``job_errors``.
+    Further columns of ``jobs`` stay.
     """
     counts = items.groupBy("job_id").agg(F.count("*").alias("total_items"), F.count("result").alias("successful"))
-    sized = jobs.join(counts, "job_id", "left").fillna({"total_items": 0, "successful": 0})
-    oversize = F.col("total_items") > max_items
-    sized = sized.withColumn("status", F.when(oversize, F.lit("failed")).otherwise(F.col("status")))
-    listed = sized.where(F.col("status") == "completed").select("job_id")
-    results = (
-        items.join(listed, "job_id", "left_semi")
-        .groupBy("job_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "result"))).alias("_r"))
-        .select("job_id", F.transform("_r", lambda r: r["result"]).alias("results"))
-    )
     failures = errors.groupBy("job_id").agg(F.count("*").alias("job_errors"))
-    listable = failures.where(F.col("job_errors") <= max_items).select("job_id")
-    failures = failures.join(
-        errors.join(listable, "job_id", "left_semi")
-        .groupBy("job_id")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "error"))).alias("errors")),
-        "job_id",
-        "left",
-    )
-    return (
-        sized.join(results, "job_id", "left")
-        .join(failures, "job_id", "left")
-        .select(
-            "job_id", "status", "total_items", "successful",
-            (F.col("total_items") - F.col("successful")).alias("failed_items"),
-            F.coalesce("job_errors", F.lit(0)).cast("bigint").alias("job_errors"),
-            rate(F.col("successful"), F.col("total_items")).alias("success_rate"),
-            "results", "errors", "created_at", "completed_at",
-            (F.col("completed_at").cast("double") - F.col("created_at").cast("double")).alias("processing_time"),
-        )
+    own = [c for c in jobs.columns if c not in ("job_id", "status", "created_at", "completed_at")]
+    sized = jobs.join(counts, "job_id", "left").join(failures, "job_id", "left")
+    sized = sized.fillna({"total_items": 0, "successful": 0, "job_errors": 0})
+    return sized.select(
+        "job_id", "status", "total_items", "successful", (F.col("total_items") - F.col("successful")).alias("failed_items"),
+        F.col("job_errors").cast("bigint").alias("job_errors"), rate(F.col("successful"), F.col("total_items")).alias("success_rate"),
+        "created_at", "completed_at",
+        (F.col("completed_at").cast("double") - F.col("created_at").cast("double")).alias("processing_time"), *own,
     )
 
 
+def job_results(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    """(job_id, pos, result) of completed jobs, however many; order by job and ``pos`` to read them."""
+    done = jobs.where(F.col("status") == "completed").select("job_id")
+    return items.join(done, "job_id", "left_semi").select("job_id", "pos", "result")
+
+
+def job_errors(jobs: DataFrame, errors: DataFrame) -> DataFrame:
+    """(job_id, at, error) of the given jobs, however many."""
+    return errors.join(jobs.select("job_id"), "job_id", "left_semi").select("job_id", "at", "error")
+
+
 def split_sizes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("split").agg(F.count("*").alias("n_rows"))
 

@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 
 from pairloom import constants as C
 from pairloom.functions.text import normalize_text, tokenize
-from pairloom.operators.lookup import SALTS
 from pairloom.operators.ordered import ranked
 
-BROADCAST_ROWS = 1_000_000
-
 
 def embed(
     df: DataFrame,
@@ -56,11 +53,11 @@ def tokenize_pairs(
     keys: list[str],
     vocab: DataFrame | None = None,
     tokenizer: Callable[[], Callable[[list[str], int], list]] | None = None,
-    max_source: int = C.MAX_TOKENS,
-    max_target: int = C.MAX_TOKENS,
+    max_source: int | None = None,
+    max_target: int | None = None,
     prefix: str = C.SEQ2SEQ_PREFIX,
 ) -> DataFrame:
-    """(keys, input_ids, labels) of (text1, text2) pairs, both cut to length.
+    """(keys, input_ids, labels) of (text1, text2) pairs; cut only to a length that is given.
 
     ``tokenizer`` makes, once per task, a function ``(texts, max length) ->
     lists of ids``. Without one, ids come from ``vocab`` (default: the
@@ -87,19 +84,16 @@ def tokenize_pairs(
     def tagged(tokens, side):
         return F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.lit(side).alias("side"), i.alias("i")))
 
-    source = F.slice(tokenize(F.concat(F.lit(prefix), F.col("text1"))), 1, max_source)
-    target = F.slice(tokenize(F.col("text2")), 1, max_target)
+    def cut_to(tokens, n):
+        return tokens if n is None else F.slice(tokens, 1, n)
+
+    source = cut_to(tokenize(F.concat(F.lit(prefix), F.col("text1"))), max_source)
+    target = cut_to(tokenize(F.col("text2")), max_target)
     rows = pairs.select(
         *keys, F.explode(F.concat(tagged(source, 0), tagged(target, 1))).alias("x")
     ).select(*keys, "x.*")
-    if vocab.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        coded = rows.join(F.broadcast(vocab), "token")
-    else:
-        # Common words fill large parts of any text: spread each over SALTS tasks.
-        spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-        copies = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        coded = spread.join(copies, ["token", "_salt"])
-    # At most max_source + max_target tokens meet in a row.
+    # A join of any size: a word that fills large parts of all texts is a skewed key, which adaptive execution splits.
+    coded = rows.join(vocab, "token")
     entry = F.struct("i", "token_id")
     lists = coded.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == 0, entry))).alias("s"),

@@ -9,17 +9,17 @@ from pairloom import constants as C
 from pairloom.functions.text import is_blank, strip_text
 
 
-def text_violation(text: Column, max_chars: int = C.MAX_TEXT_CHARS) -> Column:
-    """First rule that the text breaks, NULL if it is valid."""
-    return (
+def text_violation(text: Column, max_chars: int | None = C.MAX_TEXT_CHARS) -> Column:
+    """First rule that the text breaks, NULL if it is valid; ``max_chars`` None sets no length."""
+    broken = (
         F.when(text.isNull(), F.lit(C.NOT_A_STRING))
         .when(is_blank(text), F.lit(C.EMPTY_TEXT))
-        .when(F.length(text) > max_chars, F.lit(C.TEXT_TOO_LONG))
     )
+    return broken if max_chars is None else broken.when(F.length(text) > max_chars, F.lit(C.TEXT_TOO_LONG))
 
 
-def validate_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("violation", text_violation(F.col(text)))
+def validate_texts(df: DataFrame, text: str = "text", max_chars: int | None = C.MAX_TEXT_CHARS) -> DataFrame:
+    return df.withColumn("violation", text_violation(F.col(text), max_chars))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -116,7 +116,7 @@ def _(spark, sf):
           CAST(least(1e12, f.a0 - CASE WHEN f.gok AND f.pok AND f.p = 'click' THEN 1e12 ELSE 0 END + (r.t - f.t) * 10) AS BIGINT) AS a0,
           CAST(least(2e12, f.b0 - CASE WHEN f.gok AND f.pok AND f.p = 'view' THEN 1e12 ELSE 0 END + (r.t - f.t) * 20) AS BIGINT) AS b0
         FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1))
-    SELECT CAST(k AS VARCHAR) AS user_id, id AS event_id, gok AND pok AS admitted,
+    SELECT k AS user_id, id AS event_id, gok AND pok AS admitted,
       CASE WHEN NOT gok THEN 'shared' WHEN NOT pok THEN 'provider' END AS refused_by,
       round(CASE WHEN NOT gok THEN (1e12 - g0) / 100 / 1e6 WHEN NOT pok AND p = 'click' THEN (1e12 - a0) / 10 / 1e6
         WHEN NOT pok THEN (1e12 - b0) / 20 / 1e6 ELSE 0 END, 6) AS retry_after FROM f
@@ -243,9 +243,9 @@ SQL_REWRITES = "(SELECT doc_id, text AS original, 'Processed: ' || text AS parap
 @query(
     "t1_stream_rewrite_and_score",
     f"WITH {sql_scores(SQL_REWRITES, 'doc_id')} SELECT doc_id, "
-    + ", ".join(f"CASE WHEN length(original) > 10000 THEN 0 ELSE round({m}, 6) END AS {m}" for m in METRICS)
-    + ", CASE WHEN length(original) > 10000 THEN 'Text too long (max 10000 chars)' END AS violation, "
-    "length(original) <= 10000 AND original IN (SELECT text FROM documents WHERE lang = 'fr') AS cached FROM scored",
+    + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
+    + ", CAST(NULL AS VARCHAR) AS violation, "
+    "original IN (SELECT text FROM documents WHERE lang = 'fr') AS cached FROM scored",
 )
 def _(spark, sf):
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")

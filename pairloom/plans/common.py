@@ -105,7 +105,7 @@ def sql_norm(x: str) -> str:
 
 
 def sql_sentences(x: str) -> str:
-    return f"len(regexp_extract_all({x}, '[^.!?]+[.!?]*'))"
+    return f"len(list_filter(string_split_regex({x}, '[.!?]+'), lambda s: NOT regexp_full_match(s, '{SPACE}*')))"
 
 
 def sql_scores(pairs: str, keys: str) -> str:

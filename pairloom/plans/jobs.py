@@ -27,14 +27,15 @@ def rewrite_file(
     now: Column,
     fn: Callable[[str], str | None] = offline_reply,
     ttl: int | None = C.MEMO_TTL_SECONDS,
+    max_chars: int | None = None,
     **calls,
 ) -> tuple[DataFrame, DataFrame]:
     """Lines of a file to a report in line order; (outcome, quarantined lines).
 
     Results are written once and read from there by both the report and the
-    outcome.
+    outcome. Lines of any length are rewritten unless ``max_chars`` is given.
     """
-    valid, bad = split_valid(validate_texts(read_numbered_lines(spark, path)))
+    valid, bad = split_valid(validate_texts(read_numbered_lines(spark, path), max_chars=max_chars))
     done = scratch_dir(spark, "rewrites")
     memoized_transform(valid, store, now, fn, ttl=ttl, **calls).write.parquet(done)
     results = spark.read.parquet(done)

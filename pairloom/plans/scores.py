@@ -262,7 +262,7 @@ def _(spark, sf):
     f"(SELECT doc_id, ({sql_tokens('text')})[1:128] AS t FROM documents)",
 )
 def _(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", T.truncate_tokens(T.tokenize(F.col("text"))).alias("t"))
+    t = table(spark, sf, "documents").select("doc_id", T.truncate_tokens(T.tokenize(F.col("text")), 128).alias("t"))
     return t.select("doc_id", big(F.size("t")).alias("n"), digest("t").alias("tokens_md5"))
 
 

@@ -15,46 +15,58 @@ from pairloom.plans.texts import SETTINGS, SQL_PROVIDER, routed
 from pairloom.session import scratch_dir
 
 NOW_SQL = "TIMESTAMP '2024-01-20 00:00:00'"
-K = "json_extract_string(props, '$.k')"
+# A key is the request's k and user; some requests ask for keys that were never stored.
+K = "(json_extract_string(props, '$.k') || ':' || user_id)"
+ASKED = f"({K} || CASE WHEN value > 48 THEN ':new' ELSE '' END)"
 
 
 def now():
     return F.lit("2024-01-20 00:00:00").cast("timestamp")
 
 
-def entries(spark, sf, kind):
-    """One entry per request of a kind; expires after a week, or never."""
-    e = table(spark, sf, "events").where(F.col("event_type") == kind)
+def key():
+    return F.concat_ws(":", F.get_json_object("props", "$.k"), F.col("user_id").cast("string"))
+
+
+def asked_key():
+    return F.concat(key(), F.when(F.col("value") > 48, F.lit(":new")).otherwise(F.lit("")))
+
+
+FIRST_TIER = "event_id % 2 = 0"
+SECOND_TIER = "event_id % 2 = 1"
+
+
+def entries(spark, sf, which="true"):
+    """An entry for every request, or for those written to one of two stores; expires after a week, or never."""
+    e = table(spark, sf, "events").where(which)
     ts = F.col("ts").cast("timestamp")
     dies = F.when(F.col("value") <= 20, ts + F.expr("INTERVAL 7 DAYS"))
     return e.select(
-        F.get_json_object("props", "$.k").alias("key"), F.col("event_id").cast("string").alias("value"),
+        key().alias("key"), F.col("event_id").cast("string").alias("value"),
         ts.alias("created_at"), dies.alias("expires_at"),
     )
 
 
-def sql_entries(kind):
+def sql_entries(which="true"):
     return (
         f"(SELECT {K} AS key, CAST(event_id AS VARCHAR) AS value, ts AS created_at, "
-        f"CASE WHEN value <= 20 THEN ts + INTERVAL 7 DAYS END AS expires_at FROM events WHERE event_type = '{kind}')"
+        f"CASE WHEN value <= 20 THEN ts + INTERVAL 7 DAYS END AS expires_at FROM events WHERE {which})"
     )
 
 
-def sql_store(kind):
+def sql_store(which="true"):
     return (
-        f"(SELECT key, value, created_at, expires_at FROM {sql_entries(kind)} "
+        f"(SELECT key, value, created_at, expires_at FROM {sql_entries(which)} "
         "QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at DESC, value DESC) = 1)"
     )
 
 
-def store(spark, sf, kind):
-    return S.store_upsert(spark.createDataFrame([], S.ENTRY_SCHEMA), entries(spark, sf, kind))
+def store(spark, sf, which="true"):
+    return S.store_upsert(spark.createDataFrame([], S.ENTRY_SCHEMA), entries(spark, sf, which))
 
 
-def requests(spark, sf, *kinds):
-    e = table(spark, sf, "events")
-    rows = e.where(F.col("event_type").isin(*kinds)) if kinds else e
-    return rows.select("event_id", F.get_json_object("props", "$.k").alias("key"))
+def requests(spark, sf):
+    return table(spark, sf, "events").select("event_id", asked_key().alias("key"))
 
 
 LIVE = f"(expires_at IS NULL OR {NOW_SQL} <= expires_at)"
@@ -71,47 +83,47 @@ SHOWN = "key, value, epoch_us(created_at) AS created_us, epoch_us(expires_at) AS
 
 @query(
     "k3_results_store_upsert",
-    f"SELECT {SHOWN} FROM (SELECT *, 0 AS v FROM {sql_store('click')} UNION ALL SELECT *, 1 AS v FROM {sql_store('view')}) "
+    f"SELECT {SHOWN} FROM (SELECT *, 0 AS v FROM {sql_store(FIRST_TIER)} UNION ALL SELECT *, 1 AS v FROM {sql_store(SECOND_TIER)}) "
     "QUALIFY row_number() OVER (PARTITION BY key ORDER BY v DESC) = 1",
 )
 def _(spark, sf):
     kept = S.ResultsStore(spark, scratch_dir(spark, "store"))
-    kept.put(entries(spark, sf, "click"))
-    kept.put(entries(spark, sf, "view"))
+    kept.put(entries(spark, sf, FIRST_TIER))
+    kept.put(entries(spark, sf, SECOND_TIER))
     return shown(kept.read())
 
 
 @query(
     "j2_cache_lookup",
-    f"SELECT event_id, {K} AS key, s.value, s.key IS NOT NULL AS hit FROM events e LEFT JOIN "
-    f"(SELECT * FROM {sql_store('purchase')} WHERE {LIVE}) s ON s.key = {K.replace('props', 'e.props')}",
+    f"WITH r AS (SELECT event_id, {ASKED} AS key FROM events) SELECT event_id, r.key, s.value, s.key IS NOT NULL AS hit FROM r LEFT JOIN "
+    f"(SELECT * FROM {sql_store()} WHERE {LIVE}) s ON s.key = r.key",
 )
 def _(spark, sf):
     asked = requests(spark, sf)
-    return S.cache_lookup(asked, store(spark, sf, "purchase"), now(), hot_keys(asked, "key")).select(
+    return S.cache_lookup(asked, store(spark, sf), now(), hot_keys(asked, "key")).select(
         "event_id", "key", "value", "hit"
     )
 
 
 @query(
     "j3_cache_exists",
-    f"SELECT event_id, {K} AS key FROM events WHERE {K} IN (SELECT key FROM {sql_store('purchase')} WHERE {LIVE})",
+    f"SELECT event_id, {ASKED} AS key FROM events WHERE {ASKED} IN (SELECT key FROM {sql_store()} WHERE {LIVE})",
 )
 def _(spark, sf):
-    return S.cache_exists(requests(spark, sf), store(spark, sf, "purchase"), now()).select("event_id", "key")
+    return S.cache_exists(requests(spark, sf), store(spark, sf), now()).select("event_id", "key")
 
 
 @query(
     "j4_cache_misses",
-    f"SELECT event_id, {K} AS key FROM events WHERE {K} NOT IN (SELECT key FROM {sql_store('purchase')} WHERE {LIVE})",
+    f"SELECT event_id, {ASKED} AS key FROM events WHERE {ASKED} NOT IN (SELECT key FROM {sql_store()} WHERE {LIVE})",
 )
 def _(spark, sf):
-    return S.cache_misses(requests(spark, sf), store(spark, sf, "purchase"), now()).select("event_id", "key")
+    return S.cache_misses(requests(spark, sf), store(spark, sf), now()).select("event_id", "key")
 
 
 SQL_TIERS = (
-    f"p AS (SELECT * FROM {sql_store('purchase')} WHERE {LIVE}), s AS (SELECT * FROM {sql_store('signup')} WHERE {LIVE}), "
-    f"r AS (SELECT event_id, {K} AS key FROM events)"
+    f"p AS (SELECT * FROM {sql_store(FIRST_TIER)} WHERE {LIVE}), s AS (SELECT * FROM {sql_store(SECOND_TIER)} WHERE {LIVE}), "
+    f"r AS (SELECT event_id, {ASKED} AS key FROM events)"
 )
 
 
@@ -121,7 +133,7 @@ SQL_TIERS = (
     "WHEN s.key IS NOT NULL THEN 'secondary' END AS tier FROM r LEFT JOIN p USING (key) LEFT JOIN s USING (key)",
 )
 def _(spark, sf):
-    answers, _ = S.two_tier_lookup(requests(spark, sf), store(spark, sf, "purchase"), store(spark, sf, "signup"), now())
+    answers, _ = S.two_tier_lookup(requests(spark, sf), store(spark, sf, FIRST_TIER), store(spark, sf, SECOND_TIER), now())
     return answers.select("event_id", "key", "value", "tier")
 
 
@@ -131,7 +143,7 @@ def _(spark, sf):
     "WHERE key IN (SELECT key FROM r) AND key NOT IN (SELECT key FROM p)",
 )
 def _(spark, sf):
-    _, promoted = S.two_tier_lookup(requests(spark, sf), store(spark, sf, "purchase"), store(spark, sf, "signup"), now())
+    _, promoted = S.two_tier_lookup(requests(spark, sf), store(spark, sf, FIRST_TIER), store(spark, sf, SECOND_TIER), now())
     return shown(promoted)
 
 
@@ -150,11 +162,11 @@ def _(spark, sf):
 
 @query(
     "j7_cache_delete",
-    f"SELECT {SHOWN} FROM {sql_store('purchase')} WHERE key NOT IN (SELECT {K} FROM events WHERE value > 45)",
+    f"SELECT {SHOWN} FROM {sql_store()} WHERE key NOT IN (SELECT {K} FROM events WHERE value > 45)",
 )
 def _(spark, sf):
-    gone = table(spark, sf, "events").where("value > 45").select(F.get_json_object("props", "$.k").alias("key"))
-    return shown(S.cache_delete(store(spark, sf, "purchase"), gone))
+    gone = table(spark, sf, "events").where("value > 45").select(key().alias("key"))
+    return shown(S.cache_delete(store(spark, sf), gone))
 
 
 @query(
@@ -172,26 +184,24 @@ def _(spark, sf):
 
 @query(
     "c2_store_get_after_delete",
-    f"WITH kept AS (SELECT * FROM {sql_store('purchase')} WHERE key NOT IN (SELECT {K} FROM events WHERE value > 45)) "
-    f"SELECT event_id, {K} AS key, value FROM events e2 JOIN (SELECT key AS k2, value AS stored FROM kept WHERE {LIVE}) ON k2 = {K}".replace(
-        "key, value FROM events", "key, stored AS value FROM events"
-    ),
+    f"WITH kept AS (SELECT * FROM {sql_store()} WHERE key NOT IN (SELECT {K} FROM events WHERE value > 45)), "
+    f"r AS (SELECT event_id, {ASKED} AS key FROM events) SELECT event_id, r.key, kept.value FROM r JOIN kept ON kept.key = r.key WHERE {LIVE}",
 )
 def _(spark, sf):
     kept = S.ResultsStore(spark, scratch_dir(spark, "store"))
-    kept.put(entries(spark, sf, "purchase"))
-    kept.delete(table(spark, sf, "events").where("value > 45").select(F.get_json_object("props", "$.k").alias("key")))
+    kept.put(entries(spark, sf))
+    kept.delete(table(spark, sf, "events").where("value > 45").select(key().alias("key")))
     found = S.cache_lookup(requests(spark, sf), kept.read(), now())
     return found.where("hit").select("event_id", "key", "value")
 
 
 @query(
     "c3_store_clear",
-    f"SELECT (SELECT count(*) FROM {sql_store('view')}) AS n_before, CAST(0 AS BIGINT) AS n_after",
+    f"SELECT (SELECT count(*) FROM {sql_store()}) AS n_before, CAST(0 AS BIGINT) AS n_after",
 )
 def _(spark, sf):
     kept = S.ResultsStore(spark, scratch_dir(spark, "store"))
-    kept.put(entries(spark, sf, "view"))
+    kept.put(entries(spark, sf))
     before = kept.read().select(F.lit("before").alias("at"))
     kept.clear()
     both = before.unionByName(kept.read().select(F.lit("after").alias("at")))
@@ -200,10 +210,10 @@ def _(spark, sf):
     )
 
 
-@query("c4_store_purge_expired", f"SELECT {SHOWN} FROM {sql_store('signup')} WHERE {LIVE}")
+@query("c4_store_purge_expired", f"SELECT {SHOWN} FROM {sql_store()} WHERE {LIVE}")
 def _(spark, sf):
     kept = S.ResultsStore(spark, scratch_dir(spark, "store"))
-    kept.put(entries(spark, sf, "signup"))
+    kept.put(entries(spark, sf))
     kept.purge(now())
     return shown(kept.read())
 
@@ -305,7 +315,7 @@ def _(spark, sf):
 
 @query(
     "u6_retry_pass",
-    "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE 'Processed: ' || md5(text) END AS result, "
+    "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE 'Processed: ' || text END AS result, "
     "CASE WHEN lang = 'de' THEN 'failed' ELSE 'ok' END AS status, CAST(CASE WHEN lang = 'de' THEN 4 ELSE 1 END AS BIGINT) AS attempts, "
     "CASE WHEN lang = 'de' THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END AS wait FROM documents",
 )
@@ -315,7 +325,7 @@ def _(spark, sf):
             raise ValueError("no model for it")
         return C.OFFLINE_REPLY_PREFIX + text
 
-    asked = F.concat(F.when(F.col("lang") == "de", F.lit("de:")).otherwise(F.lit("")), F.md5("text"))
+    asked = F.concat(F.when(F.col("lang") == "de", F.lit("de:")).otherwise(F.lit("")), "text")
     d = table(spark, sf, "documents").select("doc_id", asked.alias("text"))
     done = G.retry_pass(d, model, "doc_id")
     return done.select("doc_id", "result", "status", F.col("attempts").cast("bigint").alias("attempts"), "wait")

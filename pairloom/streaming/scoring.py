@@ -23,16 +23,18 @@ def stream_rewrite_and_score(
     fn: Callable[[str], str | None] = offline_reply,
     text: str = "text",
     operation: str = "generate",
+    max_chars: int | None = None,
     **calls,
 ) -> DataFrame:
     """Validate, look up or generate, and score each text of a stream.
 
     Texts with a live entry in the store (as it is when the query starts) are
-    not generated; invalid texts are marked and neither generated nor scored.
+    not generated; invalid texts (NULL, blank, above ``max_chars`` if given) are marked
+    and neither generated nor scored.
     Write the result with ``append_parquet`` and add the new ones to the store
     with :func:`remember`.
     """
-    rows = texts.withColumn("violation", text_violation(F.col(text))).withColumn(
+    rows = texts.withColumn("violation", text_violation(F.col(text), max_chars)).withColumn(
         "key", cache_key({"text": F.col(text)}, operation)
     )
     if store is None:
@@ -43,7 +45,7 @@ def stream_rewrite_and_score(
     # Only what has to be generated reaches the model: the rest is handed NULL.
     todo = F.col("violation").isNull() & F.col("_known").isNull()
     asked = rows.withColumn("_ask", F.when(todo, F.col(text)))
-    called = generate(asked, _skip_null(fn), "_ask", **calls).drop("status", "seconds", "_ask")
+    called = generate(asked, fn, "_ask", **calls).drop("status", "seconds", "_ask")
     answered = called.withColumns({
         "result": F.coalesce("_known", "result"), "cached": F.col("_known").isNotNull()
     }).drop("_known", "attempts")
@@ -51,10 +53,6 @@ def stream_rewrite_and_score(
     return scored
 
 
-def _skip_null(fn: Callable) -> Callable:
-    return lambda t: None if t is None else fn(t)
-
-
 def remember(scored: DataFrame, store: ResultsStore, now: Column, ttl: int | None = C.MEMO_TTL_SECONDS) -> None:
     """Put the newly generated results of a finished run into the store."""
     fresh = scored.where(~F.col("cached") & F.col("result").isNotNull())

@@ -152,3 +152,9 @@ def test_vector_cosine_of_zero_vector(spark):
     z, v = F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(3.0), F.lit(4.0))
     r = one(spark, zero=S.vector_cosine(z, v), same=S.vector_cosine(v, v))
     assert (r.zero, r.same) == (0.0, 1.0)
+
+
+def test_sentences_of_blanks_and_terminators(spark):
+    cases = {"Hello. World. ": 2, "One line.\n": 1, "...": 0, "3.14": 2, " \n": 0, "": 0, "a": 1, "A!  B?\t": 2, "no end": 1}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", T.sentence_count(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in rows.collect()} == cases

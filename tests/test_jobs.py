@@ -136,15 +136,24 @@ def test_files(spark, tmp_path):
     assert text == "".join(f"Original: {o}\nParaphrase: {r}\n{rule}\n" for o, r in (("a", "x"), ("b", "FAILED"), ("c", "FAILED")))
 
 
-def test_oversize_job_fails_without_results(spark):
+def test_jobs_of_any_size_keep_all_results(spark):
     items = spark.range(30).select(F.when(F.col("id") < 10, "small").otherwise("big").alias("job_id"), F.col("id").alias("pos"),
                                    F.when(F.col("id") != 3, F.col("id").cast("string")).alias("result"))
     jobs = spark.createDataFrame([("small", "completed"), ("big", "completed")], "job_id string, status string").withColumns(
         {"created_at": at(0), "completed_at": at(5)})
     errors = spark.createDataFrame([("big", "too many", 1)], "job_id string, error string, at int")
-    got = {r.job_id: r for r in summaries.job_status(jobs, items, errors, 10).collect()}
-    assert got["small"].results == ["0", "1", "2", None, "4", "5", "6", "7", "8", "9"] and got["small"].processing_time == 5.0
-    assert (got["big"].status, got["big"].results, got["big"].job_errors) == ("failed", None, 1)
+    many = spark.range(5000).select(F.lit("huge").alias("job_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("result"))
+    jobs = jobs.withColumn("metadata", F.lit("m")).union(spark.createDataFrame([("huge", "completed"), ("none", "processing")], "job_id string, status string").withColumns(
+        {"created_at": at(0), "completed_at": F.lit(None).cast("timestamp"), "metadata": F.lit("n")}))
+    errors = errors.union(many.select("job_id", F.col("result").alias("error"), F.col("pos").cast("int")))
+    got = {r.job_id: r for r in summaries.job_status(jobs, items.union(many), errors).collect()}
+    assert (got["small"].processing_time, got["small"].successful, got["small"].metadata) == (5.0, 9, "m")
+    assert (got["big"].status, got["big"].total_items, got["big"].job_errors) == ("completed", 20, 1)
+    assert (got["huge"].status, got["huge"].successful, got["huge"].job_errors) == ("completed", 5000, 5000)
+    assert (got["none"].status, got["none"].total_items, got["none"].success_rate) == ("processing", 0, 0.0)
+    results = summaries.job_results(jobs, items.union(many))
+    assert [r.result for r in results.where("job_id = 'small'").orderBy("pos").collect()] == ["0", "1", "2", None, "4", "5", "6", "7", "8", "9"]
+    assert results.where("job_id = 'huge'").count() == 5000 and summaries.job_errors(jobs, errors).count() == 5001
 
 
 def test_pluggable_tokenizer_and_encoder(spark):
@@ -204,12 +213,13 @@ def test_file_to_report(spark, tmp_path):
     try:
         store = S.ResultsStore(spark, str(tmp_path / "store"))
         outcome, bad = rewrite_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"), store, at(0))
-        assert (outcome.first().total, outcome.first().successful) == (3000, 3000)
-        assert [r.pos for r in bad.collect()] == [3000]
+        assert (outcome.first().total, outcome.first().successful) == (3001, 3001) and bad.count() == 0
+        outcome, bad = rewrite_file(spark, str(tmp_path / "in.txt"), str(tmp_path / "short"), store, at(0), max_chars=10_000)
+        assert outcome.first().total == 3000 and [r.pos for r in bad.collect()] == [3000]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).split("\n")
-    assert text[0:-1:3] == [f"Original: {t.strip()}" for t in lines[:3000]]
+    assert text[0:-1:3] == [f"Original: {t.strip()}" for t in lines[:3000] + lines[3001:]]
     o = spark.createDataFrame([("b", 0, "One two")], "batch_id string, pos bigint, text string")
     scored, summary = score_texts(o, o)
     assert scored.first().word_overlap == 1.0 and summary.first().total_evaluations == 1

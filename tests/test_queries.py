@@ -31,3 +31,20 @@ def test_query(spark, con, name):
         assert compare(spark, con, SF, QUERIES[name], SQL[name]) is None
     else:
         assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_store_queries_show_every_outcome(spark):
+    from pairloom.plans import stores
+
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    hits = {r.hit for r in QUERIES["j2_cache_lookup"](spark, SF).collect()}
+    assert hits == {True, False}
+    kept = stores.store(spark, SF).select("key", stores.S.is_live(stores.now()).alias("live")).collect()
+    assert {r.live for r in kept} == {True, False}
+    asked = {r.key for r in stores.requests(spark, SF).collect()}
+    assert asked - {r.key for r in kept}
+    assert {r.tier for r in QUERIES["j5_two_tier_lookup"](spark, SF).collect()} == {"primary", "secondary", None}
+    for name in ("j3_cache_exists", "j4_cache_misses", "c2_store_get_after_delete", "j5_two_tier_promote"):
+        assert 0 < QUERIES[name](spark, SF).count() < n, name
+    for name in ("j7_cache_delete", "c4_store_purge_expired"):
+        assert 0 < QUERIES[name](spark, SF).count() < len(kept), name
