@@ -115,6 +115,66 @@ def dispatch(
     return out.withColumn("status", result_status(F.col("result")))
 
 
+def memoized_dispatch(
+    df: DataFrame,
+    registry: Mapping[str, Callable[[list[str], str], list[str | None]]],
+    store: ResultsStore,
+    now: Column,
+    provider: str = "provider",
+    model: str = "model",
+    text: str = "text",
+    settings: DataFrame | None = None,
+    ttl: int | None = C.MEMO_TTL_SECONDS,
+    max_retries: int = C.MAX_RETRIES,
+    retry_delay: float = C.RETRY_DELAY,
+    batch: int = C.MAX_REQUEST_TEXTS,
+    operation: str = "dispatch",
+) -> DataFrame:
+    """Adds ``key, model_name, result, attempts, error, cached, status``: routed, memoised and retried in one.
+
+    A provider's callable takes a list of at most ``batch`` texts and a model name and returns as many replies; one that raises is called
+    again for the whole list. Each distinct (provider, model, text) without a live entry is called once; replies are
+    stored, fixed messages for a missing reply, a failed call and an unknown provider are not. NULL texts are
+    not called and have a NULL result. ``attempts`` is 0 for what was not called.
+    """
+    routed = resolve_model(df, provider, model, settings).withColumn("_route", canonical_provider(F.col(provider)))
+    keyed = routed.withColumn("key", cache_key({"text": F.col(text), "provider": F.col("_route"), "model": F.col("model_name")}, operation))
+    before = live(store.read(), now).select("key", F.get_json_object("value", "$.value").alias("_known"))
+    wanted = keyed.where(F.col(text).isNotNull()).groupBy("key").agg(*[F.first(c).alias(c) for c in ("_route", "model_name", text)])
+    missing = wanted.join(before, "key", "left_anti").select("key", "_route", "model_name", F.col(text).alias("_text"))
+    calls = dict(registry)
+
+    def ask(route: str, name: str, texts: list[str]) -> tuple[list[str | None], int, str | None]:
+        replies, attempts, error, _ = call_with_retries(calls[route], (texts, name), max_retries, retry_delay)
+        if error is None and len(replies) != len(texts):
+            replies, error = None, f"ValueError: {len(replies)} replies to {len(texts)} texts"
+        return ([None] * len(texts) if replies is None else replies), attempts, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (route, name), rows in pdf.groupby(["_route", "model_name"], dropna=False, sort=False):
+                for start in range(0, len(rows), batch):
+                    some = rows.iloc[start : start + batch]
+                    if route not in calls:
+                        made = [(C.UNKNOWN_PROVIDER, 0, None)] * len(some)
+                    else:
+                        replies, attempts, error = ask(route, name, some["_text"].tolist())
+                        made = [(C.CALL_FAILED if error else r or C.NO_RESULT, attempts, error) for r in replies]
+                    yield pd.DataFrame(made, columns=["_made", "attempts", "error"]).assign(key=some["key"].to_numpy())
+
+    # Paid answers are written before anything reads them twice.
+    path = scratch_dir(df.sparkSession, "answers")
+    schema = "_made string, attempts int, error string, key string"
+    missing.mapInPandas(run, schema).write.parquet(path)
+    answers = df.sparkSession.read.schema(schema).parquet(path)
+    good = answers.where(~F.col("_made").isin(*C.FALLBACK_REPLIES))
+    store.put(new_entries(good.select("key", F.to_json(F.struct(F.col("_made").alias("value"))).alias("value")), now, ttl))
+    found = keyed.join(before, "key", "left").join(answers, "key", "left")
+    return found.withColumns({
+        "result": F.coalesce("_known", "_made"), "attempts": F.coalesce("attempts", F.lit(0)), "cached": F.col("_known").isNotNull(),
+    }).withColumn("status", result_status(F.col("result"))).drop("_known", "_made", "_route")
+
+
 def retry_pass(
     df: DataFrame, fn: Callable, key: str, text: str = "text", max_retries: int = C.MAX_RETRIES,
     retry_delay: float = C.RETRY_DELAY,

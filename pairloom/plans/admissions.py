@@ -14,7 +14,7 @@ from pairloom.plans.scores import METRICS
 from pairloom.session import scratch_dir
 from pairloom.streaming import admission as SA
 from pairloom.streaming import scoring as SS
-from pairloom.streaming.files import read_stream, run_to_summary, run_to_table
+from pairloom.streaming.files import read_stream, run_to_latest, run_to_table
 
 K = "json_extract_string(props, '$.k')"
 
@@ -203,24 +203,27 @@ def _(spark, sf):
     return run_to_table(SA.stream_dedupe_ttl(stream, "k", "ts", "event_id", TTL), "t5")
 
 
+WINDOW = ["provider", "window_start"]
+
+
 def usage_sql(seconds, slide):
     width, step = seconds * 1_000_000, slide * 1_000_000
     return (
         f"SELECT event_type AS provider, s AS start_us, count(*) AS n_requests FROM (SELECT event_type, "
         f"unnest(range(epoch_us(ts) // {step} * {step} - {width - step}, epoch_us(ts) + 1, {step})) AS s FROM events) "
-        f"WHERE s + {width} <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events) GROUP BY ALL"
+        "GROUP BY ALL"
     )
 
 
 @query("t4_stream_window_usage", usage_sql(21600, 21600))
 def _(spark, sf):
-    out = run_to_table(SS.stream_window_usage(event_stream(spark, sf), "event_type", "ts", 21600), "t4")
+    out = run_to_latest(SS.stream_window_usage(event_stream(spark, sf), "event_type", "ts", 21600), WINDOW, "t4")
     return out.select("provider", F.unix_micros("window_start").alias("start_us"), "n_requests")
 
 
 @query("t4_stream_window_usage_sliding", usage_sql(21600, 3600))
 def _(spark, sf):
-    out = run_to_table(SS.stream_window_usage(event_stream(spark, sf), "event_type", "ts", 21600, 3600), "t4")
+    out = run_to_latest(SS.stream_window_usage(event_stream(spark, sf), "event_type", "ts", 21600, 3600), WINDOW, "t4")
     return out.select("provider", F.unix_micros("window_start").alias("start_us"), "n_requests")
 
 
@@ -234,7 +237,7 @@ def _(spark, sf):
     m = SS.stream_summary(
         event_stream(spark, sf), F.col("value") > 40, F.col("value"), F.col("user_id") < 20, ["event_type"]
     )
-    return run_to_summary(m, "t6").withColumns({c: r6(c) for c in ("average_response_time", "cache_hit_rate")})
+    return run_to_latest(m, ["event_type"], "t6").withColumns({c: r6(c) for c in ("average_response_time", "cache_hit_rate")})
 
 
 SQL_REWRITES = "(SELECT doc_id, text AS original, 'Processed: ' || text AS paraphrase FROM documents)"

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pairloom import constants as C
 from pairloom.operators.pairing import next_turn_pairs
-from pairloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,13 +31,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# Text columns mean much work per byte: give every core a share of small files.
+# Text columns mean much work per byte. A session that knows its files to be few can ask for so many tasks on them;
+# without the setting a table is read as its files are split.
+TEXT_TASKS = "spark.pairloom.textTasks"
 TEXTS = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXTS[name]) if name in TEXTS else df
+    tasks = spark.conf.get(TEXT_TASKS, None)
+    return df.repartition(int(tasks), TEXTS[name]) if tasks and name in TEXTS else df
 
 
 def r6(col: Column | str) -> Column:

@@ -313,6 +313,42 @@ def _(spark, sf):
     return G.dispatch(rows, {"openrouter": first, "gemini": second}, settings=settings).select("event_id", "result")
 
 
+SQL_MODEL = "CASE WHEN value > 40 THEN 'custom' WHEN event_type = 'view' THEN 'env-model' ELSE 'file-model' END"
+# what the earlier run stored: replies, and not the fixed messages
+SQL_STORED = "event_type = 'view' AND user_id >= 10"
+
+
+@query(
+    "c1_memoized_dispatch",
+    f"SELECT event_id, {SQL_MODEL} AS model_name, CASE WHEN event_type = 'purchase' THEN 'Unknown provider.' "
+    "WHEN event_type = 'view' AND user_id < 10 THEN 'Could not generate paraphrase.' "
+    f"WHEN event_type = 'view' THEN 'g/' || {SQL_MODEL} || '/' || props WHEN user_id < 5 THEN 'Error generating paraphrase.' "
+    f"ELSE 'o/' || {SQL_MODEL} || '/' || props END AS result, "
+    f"CAST(CASE WHEN event_type = 'purchase' OR {SQL_STORED} THEN 0 WHEN event_type <> 'view' AND user_id < 5 THEN 2 ELSE 1 END AS BIGINT) AS attempts, "
+    "CASE WHEN event_type NOT IN ('purchase', 'view') AND user_id < 5 THEN 'RuntimeError: refused' END AS error, "
+    f"{SQL_STORED} AS cached FROM events",
+)
+def _(spark, sf):
+    def first(texts, model):
+        if int(texts[0].split("|", 1)[0]) < 5:
+            raise RuntimeError("refused")
+        return [f"o/{model}/{t.split('|', 1)[1]}" for t in texts]
+
+    def second(texts, model):
+        pairs = [t.split("|", 1) for t in texts]
+        return [None if int(user) < 10 else f"g/{model}/{body}" for user, body in pairs]
+
+    e = routed(table(spark, sf, "events")).withColumn("text", F.concat_ws("|", F.col("user_id").cast("string"), "props"))
+    settings = spark.createDataFrame(SETTINGS, "provider string, override string, file_value string")
+    kept = S.ResultsStore(spark, scratch_dir(spark, "dispatch"))
+    calls = {"settings": settings, "max_retries": 1, "retry_delay": 0, "batch": 1}
+    earlier = F.lit("2024-01-19 23:30:00").cast("timestamp")
+    rows = e.select("event_id", "event_type", "provider", "model", "text")
+    G.memoized_dispatch(rows.where("event_type = 'view'"), {"gemini": second}, kept, earlier, **calls)
+    done = G.memoized_dispatch(rows, {"openrouter": first, "gemini": second}, kept, now(), **calls)
+    return done.select("event_id", "model_name", "result", F.col("attempts").cast("bigint").alias("attempts"), "error", "cached")
+
+
 @query(
     "u6_retry_pass",
     "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE 'Processed: ' || text END AS result, "

@@ -53,15 +53,3 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work on an input of a few file splits.
-
-    Only an input smaller than one scan partition per core is shuffled; a large
-    one has more splits than cores and is returned as it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * split else df

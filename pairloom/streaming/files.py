@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pairloom.session import scratch_dir
 
@@ -44,14 +45,27 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_to_summary(stream: DataFrame, label: str) -> DataFrame:
-    """Process everything that is there now; returns the final state of a small
-    aggregation (complete mode: one row per group, held by the driver)."""
-    spark = stream.sparkSession
-    name = label.replace("-", "_") + "_" + scratch_dir(spark, "q").rsplit("-", 1)[1]
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-        .option("checkpointLocation", scratch_dir(spark, label)).start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+def keep_latest(stream: DataFrame, path: str, available_now: bool = True):
+    """Start a query that writes each micro-batch's changed groups of an aggregation to ``path``.
+
+    A micro-batch that is run again replaces its own folder. Read the groups with ``latest_of``.
+    """
+    def save(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest_of(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """Every group as its last micro-batch left it, open windows included."""
+    named = StructType([*schema.fields, StructField("batch", LongType())])
+    rows = spark.read.schema(named).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in schema.names if c not in keys]).select(*schema.names)
+
+
+def run_to_latest(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Process everything that is there now and return every group; nothing is held by the driver."""
+    path = scratch_dir(stream.sparkSession, label)
+    keep_latest(stream, path).awaitTermination()
+    return latest_of(stream.sparkSession, path, stream.schema, keys)

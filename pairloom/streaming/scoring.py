@@ -63,7 +63,8 @@ def remember(scored: DataFrame, store: ResultsStore, now: Column, ttl: int | Non
 def stream_window_usage(
     requests: DataFrame, provider: str, ts: str, seconds: int = 60, slide: int | None = None, delay: str = "1 hour"
 ) -> DataFrame:
-    """Requests per provider and window, once the watermark has passed it."""
+    """Requests per provider and window. In append mode a window comes once the watermark has passed it; with
+    ``keep_latest`` all windows are there, the open ones too."""
     width = F.window(ts, f"{seconds} seconds", f"{slide or seconds} seconds").alias("w")
     return (
         requests.withWatermark(ts, delay)
@@ -76,5 +77,5 @@ def stream_window_usage(
 def stream_summary(
     requests: DataFrame, failed: Column, seconds: Column, hit: Column, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Running request metrics; write in complete mode."""
+    """Running request metrics; write with ``keep_latest``."""
     return request_metrics(requests, failed, seconds, hit, by)

@@ -10,6 +10,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         # keep small shuffles in 8 pieces, so that keys do cross chunk borders
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        .config("spark.pairloom.textTasks", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

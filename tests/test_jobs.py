@@ -223,3 +223,22 @@ def test_file_to_report(spark, tmp_path):
     o = spark.createDataFrame([("b", 0, "One two")], "batch_id string, pos bigint, text string")
     scored, summary = score_texts(o, o)
     assert scored.first().word_overlap == 1.0 and summary.first().total_evaluations == 1
+
+
+def test_memoized_dispatch_calls_lists_once(spark, tmp_path):
+    from pairloom.operators.generate import memoized_dispatch
+
+    store = S.ResultsStore(spark, str(tmp_path / "memo"))
+    rows = spark.createDataFrame([(i, "openrouter", None, None if i == 7 else f"t{i % 5}") for i in range(20)], "id int, provider string, model string, text string")
+
+    def model(texts, name):
+        return [f"{t} of {len(texts)}" for t in texts]
+
+    done = memoized_dispatch(rows.coalesce(1), {"openrouter": model}, store, at(0), batch=3).collect()
+    assert all((r.result is None) == (r.id == 7) for r in done) and not any(r.cached for r in done)
+    assert {r.result.split(" of ")[1] for r in done if r.result} <= {"1", "2", "3"}
+    again = memoized_dispatch(rows, {}, store, at(1)).collect()
+    assert all(r.cached and r.attempts == 0 for r in again if r.id != 7)
+    assert {r.id: r.result for r in again} == {r.id: r.result for r in done}
+    short = memoized_dispatch(rows.limit(1), {"openrouter": lambda texts, name: []}, S.ResultsStore(spark, str(tmp_path / "m2")), at(0)).first()
+    assert short.status == "fallback" and "replies" in short.error
