@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairloom.session import cut, scratch_base, scratch_dir
 
-__all__ = ["blank_separated", "cut", "dense_counts", "hashed", "materialise", "scratch_base", "scratch_dir", "share", "shingles", "slices", "table"]
+__all__ = ["added_up", "blank_separated", "cut", "dense_counts", "hashed", "in_pieces", "materialise", "mix", "scratch_base", "scratch_dir", "share", "shingles", "slices", "table"]
 
 # Rows of long texts are worked on in slices of at most so many bytes of text.
 SLICE_BYTES = 4 << 20
@@ -69,7 +69,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash; forgets everything at ``limit`` words, which costs time only."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -102,34 +102,47 @@ def dense_counts(df: DataFrame, buckets: Callable[[Iterator[pa.RecordBatch]], It
     """How many rows or members fall in each of ``size`` buckets.
 
     ``buckets`` turns the batches of a task into arrays of bucket numbers. A task sends one array of
-    counts in pieces, tasks are added up piece by piece, and the driver gets ``size`` numbers, whatever
+    counts up to 255 in pieces, tasks are added up piece by piece, and the driver gets ``size`` numbers, whatever
     the input. ``size`` must be a multiple of 64.
     """
-    pieces, width = 64, size // 64
-
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for b in buckets(batches):
-            if len(b):
-                total += np.bincount(b, minlength=size)
-        parts = [total[i * width : (i + 1) * width] for i in range(pieces)]
-        filled = [i for i in range(pieces) if parts[i].any()]
-        small = [np.minimum(parts[i], 2**31 - 1).astype(np.int32).tobytes() for i in filled]
-        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(small, pa.binary())], ["piece", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
-        packed = [np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(packed, pa.binary())], ["piece", "counts"])
-
-    schema = "piece int, counts binary"
-    per_task = df.mapInArrow(count, schema)
-    # Two rounds: pieces of some tasks each, then the sums of those, so that no task reads many arrays.
-    some = per_task.repartition(pieces, "piece", F.spark_partition_id() % 16).mapInArrow(add, schema)
-    out = np.zeros(size, np.int64)
-    for row in some.repartition(8, "piece").mapInArrow(add, schema).toLocalIterator():
-        out[row.piece * width : (row.piece + 1) * width] += np.frombuffer(row.counts, np.int32)
-    return out
+            np.add.at(total, b, 1)
+        pieces, counts = in_pieces(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array(counts, pa.binary())], ["piece", "counts"])
+
+    return added_up(df.mapInArrow(count, "piece int, counts binary"), size)
+
+
+PIECES = 64
+
+
+def in_pieces(total: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Numbers and contents, a byte a count, of the pieces of an array of counts that hold any; a task's counts stop at 255."""
+    parts = np.minimum(total, 255).astype(np.uint8).reshape(PIECES, -1)
+    filled = [i for i in range(PIECES) if parts[i].any()]
+    return filled, [parts[i].tobytes() for i in filled]
+
+
+def added_up(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of arrays of ``size`` counts that come as ``rows(piece, counts)`` from ``in_pieces``.
+
+    Two rounds: pieces of some tasks each, then the sums of those, so that no task reads many arrays.
+    """
+    def add(kind):
+        def run(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    new = np.frombuffer(raw.as_buffer(), kind).astype(np.int32)
+                    sums[piece] = sums[piece] + new if piece in sums else new
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["piece", "counts"])
+
+        return run
+
+    schema, out = "piece int, counts binary", np.zeros((PIECES, size // PIECES), np.int32)
+    some = rows.repartition(16, "piece", F.spark_partition_id() % 16).mapInArrow(add(np.uint8), schema)
+    for row in some.repartition(4, "piece").mapInArrow(add(np.int32), schema).toLocalIterator():
+        out[row.piece] += np.frombuffer(row.counts, np.int32)
+    return out.reshape(-1)

@@ -14,19 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import WordHashes, blank_separated, dense_counts, hashed, materialise, share, shingles, slices
+from pairloom.llm.common import WordHashes, added_up, blank_separated, dense_counts, hashed, in_pieces, materialise, mix, share, shingles, slices
 from pairloom.llm.components import components
 
 SHINGLE = 4
 # Least similarity in hundredths.
 PERCENT = 85
 # Counters that the order of shingles is taken from, and marks for which sets have a cluster: fixed sizes.
-COUNTERS, MARKS = 1 << 20, 1 << 22
+COUNTERS, MARKS = 1 << 22, 1 << 22
+# Groups up to this size are written out as pairs, at most 28 a group; larger ones hang together by one member.
+SMALL_GROUP = 8
 # Shingles in a task's half of a cluster.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 250_000
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -45,8 +47,18 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """So many first shingles, in any global order, hold a common one of two sets that are similar enough."""
-    return n - -(-percent * n // 100) + 1
+    """Two sets that are similar enough have in common, of so many first shingles of both, in any global order, as
+    many as ``needed`` says for the smaller one.
+
+    A similar set has at least percent * n / 100 shingles in common with this one. Behind the j-th of the common
+    shingles come all the other common ones, so it stands among the first n - percent * n / 100 + j of either set.
+    """
+    return n - -(-percent * n // 100) + needed(n)
+
+
+def needed(n: int) -> int:
+    """Common first shingles asked of a set of ``n``: the more there are, the fewer unlike sets pass."""
+    return min(4, 1 + n // 40)
 
 
 class Node:
@@ -170,21 +182,40 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     spark = docs.sparkSession
-    keyed = materialise(texts.mapInArrow(_keys(k), "doc_id bigint, k1 bigint, k2 bigint, n bigint"), "keys")
-    counts = dense_counts(texts.select("text"), _counters(k), COUNTERS)
-    order = share(spark, np.minimum(counts, 2**31 - 1).astype(np.int32))
+    read = materialise(texts.mapInArrow(_keys(k), "doc_id bigint, k1 bigint, k2 bigint, n bigint, piece int, counts binary"), "keys")
+    keyed = read.where("piece IS NULL").select("doc_id", "k1", "k2", "n")
+    counts = added_up(read.where("piece IS NOT NULL").select("piece", "counts"), COUNTERS)
+    order = share(spark, np.minimum(counts, 65_535).astype(np.uint16))
+    sets = keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
     # sets that share one of their first shingles, directly or through others, are a cluster
     entries = texts.select("text").mapInArrow(_first_shingles(k, percent, order), "token bigint, k1 bigint")
     entries = materialise(entries, "entries")
-    groups = entries.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
-    clusters = components(entries.join(groups, "token").where("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b")))
+    groups = entries.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("held"))
+    groups = materialise(groups.where("low <> high"), "groups")
+    # small groups are pairs, of which those stay that share enough first shingles and are of like size; members of
+    # a larger group hang below its least, whatever their number
+    larger = groups.where("held > 2").select("token", "low", "held")
+    filled = share(spark, np.packbits(dense_counts(larger.select("token"), _marks, MARKS) > 0))
+    held = materialise(entries.mapInArrow(_marked_rows(filled), entries.schema).join(larger, "token"), "held")
+    few = held.where(f"held <= {SMALL_GROUP}").groupBy("token").agg(F.collect_list("k1").alias("ks"))
+    sides = few.select(F.explode("ks").alias("a"), "ks").select("a", F.explode("ks").alias("b")).where("a < b")
+    sides = groups.where("held = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(sides)
+    sizes = sets.groupBy("k1").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    close = sides.groupBy("a", "b").agg(F.count("*").alias("shared")).join(sizes.toDF("a", "least", "most"), "a").join(sizes.toDF("b", "least_2", "most_2"), "b")
+    close = close.where(f"100 * most >= {percent} * least_2 AND 100 * most_2 >= {percent} * least")
+    close = close.where("shared >= least(4, 1 + least(least, least_2) div 40)").select("a", "b")
+    # similar sets are in the same or in neighbouring bands of sizes: a set also joins the group of the next band
+    many = held.where(f"held > {SMALL_GROUP}").select("token", "k1").join(sizes, "k1")
+    bands = F.sequence(_band(F.col("least"), percent), _band(F.col("most"), percent) + 1)
+    many = many.select("token", "k1", F.explode(bands).alias("band"))
+    lows = many.groupBy("token", "band").agg(F.min("k1").alias("low"))
+    hung = many.join(lows, ["token", "band"]).where("k1 <> low").select("k1", "low").distinct()
+    clusters = components(close.unionAll(hung))
     clusters = clusters.select(F.col("id").alias("k1"), F.col("component").alias("cluster"))
 
-    sets = keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     members = sets.where("rep IS NOT NULL").join(clusters, "k1")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("bigint")
-    members = materialise(members.withColumn("band", band), "members")
+    members = materialise(members.withColumn("band", _band(F.col("n"), percent)), "members")
     # a cluster that fits is one block; a larger one has blocks of sets of like size
     whole = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     by_band = members.groupBy("cluster", "band").agg(F.sum("n").alias("held")).join(whole, "cluster")
@@ -202,11 +233,11 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     ).distinct()
     tasks = placed.join(sides, ["cluster", "row", "part"]).select("k1", "k2", "rep", "task", "side")
 
-    # whole sets are made again from the texts, for members of a cluster alone (a mark may let others pass to the join)
-    marks = dense_counts(members.select("k1"), _marks, MARKS)
-    held = share(spark, np.packbits(marks > 0))
-    full = texts.select("text").mapInArrow(_marked_sets(k, held), "k1 bigint, k2 bigint, tokens binary")
-    work = full.join(tasks, ["k1", "k2"]).select("task", "side", "rep", "tokens")
+    # whole sets are made again from the texts that stand for a member (a mark may let others pass to the join)
+    marks = dense_counts(members.select("rep"), _marks, MARKS)
+    chosen = _sets(k, share(spark, np.packbits(marks > 0)))
+    full = texts.where("doc_id IS NOT NULL").mapInArrow(chosen, "rep bigint, k1 bigint, k2 bigint, tokens binary")
+    work = full.join(tasks, ["k1", "k2", "rep"]).select("task", "side", "rep", "tokens")
     links = work.groupBy("task").applyInArrow(_trie_task(percent), "a bigint, b bigint")
     classes = components(links)
     reps = sets.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
@@ -217,13 +248,21 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
 
 def _keys(k: int):
+    """A row a text, and at the end of a task the counts of the shingles of its distinct sets."""
+    names = ["doc_id", "k1", "k2", "n", "piece", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+
     def run(batches):
+        total, seen = np.zeros(COUNTERS, np.int32), set()
         for batch, sets in shingle_sets(batches, k):
             keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array(list(map(len, sets)), pa.int64())],
-                ["doc_id", "k1", "k2", "n"],
-            )
+            for _, s in _new(sets, seen):
+                np.add.at(total, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+            columns = [batch.column("doc_id"), *([x[i] for x in keys] for i in (0, 1)), list(map(len, sets)), [None] * len(sets), [None] * len(sets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        pieces, counts = in_pieces(total)
+        empty = [None] * len(pieces)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([empty] * 4 + [pieces, counts], kinds, strict=True)], names)
 
     return run
 
@@ -234,22 +273,12 @@ def _new(sets: list[np.ndarray], seen: set[tuple[int, int]]) -> Iterator[tuple[t
         if len(s):
             key = set_key(s)
             if key not in seen:
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add(key)
                 yield key, s
 
 
-def _counters(k: int):
-    def run(batches):
-        seen: set[tuple[int, int]] = set()
-        for _, sets in shingle_sets(batches, k):
-            new = [s & np.uint64(COUNTERS - 1) for _, s in _new(sets, seen)]
-            yield np.concatenate(new).astype(np.int64) if new else np.array([], np.int64)
-
-    return run
-
-
 def _first_shingles(k: int, percent: int, order):
     def run(batches):
         counts, seen = order(), set()
@@ -267,19 +296,36 @@ def _first_shingles(k: int, percent: int, order):
     return run
 
 
+def _spot(values: pa.Array) -> np.ndarray:
+    return (mix(values.to_numpy().view(np.uint64)) & np.uint64(MARKS - 1)).astype(np.int64)
+
+
 def _marks(batches):
     for batch in batches:
-        yield batch.column("k1").to_numpy() & (MARKS - 1)
+        yield _spot(batch.column(0))
 
 
-def _marked_sets(k: int, held):
+def _marked_rows(held):
     def run(batches):
-        marks, seen = np.unpackbits(held()), set()
-        for _, sets in shingle_sets(batches, k):
-            rows = [(key, s) for key, s in _new(sets, seen) if marks[key[0] & (MARKS - 1)]]
+        marks = np.unpackbits(held())
+        for batch in batches:
+            yield batch.filter(pa.array(marks[_spot(batch.column(0))] > 0))
+
+    return run
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Sets of two bands that are not neighbours differ too much in size to be similar."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("bigint")
+
+
+def _sets(k: int, held):
+    def run(batches):
+        for batch, sets in shingle_sets(_marked_rows(held)(batches), k):
+            keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([key[i] for key, _ in rows], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for _, s in rows], pa.binary())],
-                ["k1", "k2", "tokens"],
+                [batch.column("doc_id"), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["rep", "k1", "k2", "tokens"],
             )
 
     return run
