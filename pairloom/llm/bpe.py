@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import share, slices
 
 # Words whose encoding a worker remembers between slices, and pairs of tokens it has judged.
-WORD_MEMO, PAIR_MEMO = 500_000, 400_000
+WORD_MEMO, PAIR_MEMO = 300_000, 200_000
 END = float("inf")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
