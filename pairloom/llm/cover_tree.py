@@ -162,8 +162,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     components, links with nothing and is its own class. Rows with the same vector are compared once, as one with a weight. Repeated ids
     are rows of their own in counts and share a class. ``cosine`` must be above 0.
 
-    Blocks: a label's directions are sorted along the signs of fixed random projections and cut every ``block``
-    vectors or so, so that no task depends on a label's size. Every block meets every other of its label that its
+    Blocks: a label's directions are dealt to cells by the signs of fixed random projections, and a cell of more than
+    ``block`` of them to several blocks by hash, so that no task depends on the size of a label or of a group of near copies. Every block meets every other of its label that its
     ball can reach; what a task returns is at most a row and an edge a vector.
     """
     units = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding").mapInArrow(_unit, "vec_id bigint, label string, unit binary")
@@ -174,7 +174,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     projected = distinct.withColumn("width", F.length("unit")).join(sizes.withColumnRenamed("count", "n"), ["label", "width"]).mapInArrow(
         _place(block), "label string, width int, rep bigint, weight bigint, unit binary, block bigint"
     )
-    placed = materialise(projected, "placed")
+    cells = materialise(projected, "cells")
+    # a cell of many vectors that lie close together is dealt to blocks by hash
+    held = cells.groupBy("label", "width", "block").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = F.col("block") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.col("parts"))
+    placed = cells.join(held, ["label", "width", "block"]).select("label", "width", "rep", "weight", "unit", dealt.alias("block"))
+    placed = materialise(placed, "placed")
     balls = placed.groupBy("label", "width", "block").agg(F.count("*").alias("n"), F.min_by("unit", F.xxhash64("rep")).alias("centre"))
     radii = placed.join(balls.select("label", "width", "block", "centre"), ["label", "width", "block"]).mapInArrow(_distance, "label string, width int, block bigint, d double")
     balls = materialise(balls.join(radii.groupBy("label", "width", "block").agg(F.max("d").alias("radius")), ["label", "width", "block"]), "balls")

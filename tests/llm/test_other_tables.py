@@ -125,6 +125,18 @@ def test_cover_tree_against_all_pairs(spark, block):
     assert got == links_by_hand(rows, 0.98)
 
 
+def test_cover_tree_of_many_near_copies_in_small_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=8) + 0.02 * rng.normal(size=(150, 8))
+    rows = [(i, [float(e) for e in v], 1) for i, v in enumerate(x)]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.98
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=16).orderBy("vec_id").collect()
+    assert close.all()
+    assert [tuple(r) for r in got] == [(i, 149, 0, i == 0) for i in range(150)]
+
+
 def test_cover_tree_of_copies_and_of_nothing(spark):
     rows = [(i, [1.0, 2.0], 4) for i in range(3000)]
     got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
