@@ -339,7 +339,16 @@ def decode(encoded: DataFrame, coder: WordBpe, column: str = "ids", keep: list[s
     return _pass(encoded.sparkSession, coder, encoded, column, keep, {"decoded": "string"}, make)
 
 
+def round_trip(docs: DataFrame, coder: WordBpe, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``: ``encode``, then ``decode``, in one pass and one worker a task."""
+    def make(c: WordBpe, texts):
+        ids = c.encode_all(texts)
+        return ids, [len(i) // 4 for i in ids], [c.decode(i).decode() for i in ids]
+
+    return _pass(docs.sparkSession, coder, docs, column, keep, {"ids": "binary", "n_tokens": "bigint", "decoded": "string"}, make)
+
+
 def digests(docs: DataFrame, coder: WordBpe) -> DataFrame:
     """Token count and digests of ids and of the decoded text, per document."""
-    done = decode(encode(docs, coder, keep=["doc_id"]), coder)
+    done = round_trip(docs, coder, keep=["doc_id"])
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -124,6 +124,8 @@ def test_bpe_memo_turnover_changes_nothing(coder, monkeypatch):
 
 def test_bpe_of_odd_tables(spark, coder, library):
     out = bpe.decode(bpe.encode(odd(spark), coder), coder)
+    at_once = bpe.round_trip(odd(spark), coder).select(out.columns)
+    assert at_once.exceptAll(out).count() == 0 and at_once.count() == out.count()
     assert out.count() == 10 and set(out.columns) == {*odd(spark).columns, "n_tokens", "decoded"}
     for r in out.collect():
         assert array("I", r.ids).tolist() == library.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids) // 4
