@@ -246,6 +246,35 @@ def test_passages_of_every_fifty_equal_words_are_found(spark):
     assert shared <= {r.doc_id for r in passages.repeated(d).collect()}
 
 
+def test_passages_whose_halves_stand_in_lower_and_higher_documents(spark):
+    rnd = random.Random(4)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = [new(20) for _ in range(400)]
+    passages_of = []
+    for n in range(20):
+        shared = new(50 + n % 12)
+        b, c = rnd.sample(range(100, 300), 2)
+        passages_of.append((shared, b, c))
+        for i in (b, c):
+            texts[i] += shared + new(rnd.randrange(20))
+        for low, high, part in ((n, 399 - n, shared[:33]), (40 + n, 359 - n, shared[-33:]), (80 + n, 319 - n, shared[10:42])):
+            texts[low] += part + new(9)
+            texts[high] += new(5) + part
+        # a stray copy of a part in the documents themselves
+        texts[b] = shared[20:40] + texts[b]
+        texts[c] += shared[15:35]
+    found = passages.repeated(docs(spark, [" ".join(t) for t in texts])).collect()
+    spans = defaultdict(list)
+    for r in found:
+        spans[r.doc_id].append((r.start_word, r.end_word))
+        assert 50 <= r.end_word - r.start_word == r.n_words
+    for shared, *ids in passages_of:
+        for i in ids:
+            at = next(k for k in range(len(texts[i])) if texts[i][k : k + len(shared)] == shared)
+            assert any(s <= at and at + len(shared) <= e for s, e in spans[i])
+    assert set(spans) == {i for _, *ids in passages_of for i in ids}
+
+
 def test_passages_of_odd_tables(spark):
     assert passages.repeated(odd(spark)).count() == 0
     assert passages.repeated(odd(spark).limit(0)).count() == 0
