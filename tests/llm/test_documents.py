@@ -275,6 +275,27 @@ def test_passages_whose_halves_stand_in_lower_and_higher_documents(spark):
     assert set(spans) == {i for _, *ids in passages_of for i in ids}
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 7, 11, 12, 13])
+def test_seeds_of_a_repeated_line_leave_no_window_without(period):
+    text = [b"a%d" % i for i in range(40)] + [b"w%d" % (i % period) for i in range(200)] + [b"b%d" % i for i in range(40)]
+    at, _ = passages.seeds(text, passages.WordHashes())
+    assert at[0] < passages.WINDOW and max(b - a for a, b in zip(at, at[1:], strict=False)) <= passages.WINDOW and at[-1] >= len(text) - passages.K + 1 - passages.WINDOW
+
+
+def test_passages_of_repeated_lines(spark):
+    texts, spans = [], []
+    for period in range(1, 15):
+        line = [f"p{period}w{i}" for i in range(period)]
+        for doc, n in (("a", 55), ("b", 70)):
+            shared = [line[i % period] for i in range(n)]
+            texts.append(" ".join([f"{doc}{period}x{i}" for i in range(30)] + shared + [f"{doc}{period}y{i}" for i in range(30)]))
+            spans.append(n)
+    short = " ".join(["again"] * 49)
+    found = {r.doc_id: (r.start_word, r.end_word) for r in passages.repeated(docs(spark, [*texts, "s " + short, "t " + short])).collect()}
+    assert set(found) == set(range(28))
+    assert all(30 <= s and s + 50 <= e <= 30 + n for n, (s, e) in zip(spans, [found[i] for i in range(28)], strict=True))
+
+
 def test_passages_of_odd_tables(spark):
     assert passages.repeated(odd(spark)).count() == 0
     assert passages.repeated(odd(spark).limit(0)).count() == 0
