@@ -69,6 +69,17 @@ def test_what_fails_its_check_stays(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "text string"), "k").count() == 0
 
 
+def test_ibans_beside_digits_and_capitals_and_long_secrets(spark):
+    ibans = ["BE68 5390 0754 7034", "GB82WEST12345698765432"]
+    tail = "f3ef4d6b2755a36d" * 30
+    texts = [f"{ibans[0]} 12 345", f"{ibans[1]} USD", f"A {ibans[1]} EUR 5", f"X1 {ibans[0]} AB12", f"token={tail}", f"ghp_{tail}", f"sk-{tail}"]
+    got, found = named(spark, [*ibans, *texts])
+    b, g = got[:2]
+    assert b != ibans[0] and g != ibans[1] and set(found) == {1}
+    assert got[2:6] == [f"{b} 12 345", f"{g} USD", f"A {g} EUR 5", f"X1 {b} AB12"]
+    assert all(t[-100:] != tail[-100:] for t in got[6:])
+
+
 def test_pii_runs_no_python_on_executors(spark):
     plan = pii.pseudonymise(spark.createDataFrame([("a",)], "text string"), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
