@@ -139,12 +139,12 @@ class WordBpe:
     # --- text to words ---
 
     def between_blanks(self, text: str) -> list[str]:
-        """What stands between blanks, in lower case, and special tokens by themselves, in order."""
+        """What stands between blanks, in lower case, and special tokens by themselves, after a blank, in order."""
         if self.specials is None or "<" not in text:
             return self.lowered(text)
         out: list[str] = []
         for i, part in enumerate(self.specials.split(text)):
-            out += [part] if i % 2 else self.lowered(part)
+            out += [" " + part] if i % 2 else self.lowered(part)
         return out
 
     def lowered(self, text: str) -> list[str]:
@@ -280,11 +280,11 @@ class WordBpe:
         self.known |= {r: older[r] for r in runs if r not in self.known and r in older}
         first = self.first_newer
         new = {r: (self.words if max(r) < first else self.strict).findall(r) for r in runs if r not in self.known}
-        for s in self.special:
-            if s in new:
-                new[s] = [s]
-        words = self.learn(list(set().union(*new.values()) - self.special.keys()))
-        words |= {s: array("I", [i]).tobytes() for s, i in self.special.items()}
+        # no run has a blank, so none is taken for a special token, which is sought before letters are made small
+        special = {" " + s: array("I", [i]).tobytes() for s, i in self.special.items()}
+        new |= {s: [s] for s in special if s in new}
+        words = self.learn(list(set().union(*new.values()) - special.keys()))
+        words |= special
         self.known |= {r: b"".join([words[w] for w in parts]) for r, parts in new.items()}
         get = self.known.__getitem__
         return [b"".join(map(get, runs)) for runs in cut]

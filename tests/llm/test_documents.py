@@ -114,6 +114,11 @@ def test_bpe_agrees_with_the_library(spark, coder, library):
             assert coder.decode(ids).decode() == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_markers_in_capitals_are_text(coder, library):
+    for text in ("<|ENDOFTEXT|>", "a <|EndOfText|> b<|endoftext|>", "<|endoftext|><|ENDOFTEXT|>", "<|STARTOFTEXT|> <|startoftext|>"):
+        assert array("I", coder.encode_all([text])[0]).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_memo_turnover_changes_nothing(coder, monkeypatch):
     texts = [f"word{i} thing{i % 7}" for i in range(300)]
     want = coder.encode_all(texts)
