@@ -7,20 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, cover_tree, decontaminate, dialogue, html_text, jaccard, language, passages, pii, shards
+from pairloom.llm import bpe, cover_tree, decontaminate, dialogue, html_text, jaccard, language, merkle, passages, pii, ranked_search, shards, token_counts
 from pairloom.llm.common import table
 
 # Parameters of the registered queries; a job passes its own.
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 PII_KEY = "registered query"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 
-def tokenizer_path() -> str:
-    """Where the tokenizer file of the registered query lies; jobs pass a path of their own."""
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the tokenizer file of a registered query lies; jobs pass a path of their own."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,20 +69,40 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), token_counts.load(tokenizer_path(BYTE_TOKENIZER)), keep=["doc_id"])
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_pii_pseudonyms, op3_bpe_trie, op4_cover_tree, op5_perspectives, op6_passages, op7_shards,
-        op8_ngram_jaccard, op9_language, op10_html_text,
+        op8_ngram_jaccard, op9_language, op10_html_text, op11_token_counts, op12_merkle, op13_ranked_search,
     )
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # ``linked(a, b)`` both ways to the smallest id each id reaches
 REACH = """
     reach(id, other) AS (
       SELECT a, b FROM linked UNION SELECT r.id, l.b FROM reach r JOIN linked l ON l.a = r.other)"""
 
+
+
+def written(field: str) -> str:
+    """A field as the Merkle leaves write it: length in bytes, colon, text; a dash for NULL."""
+    return f"coalesce(CAST(strlen({field}) AS VARCHAR) || ':' || {field}, '-')"
+
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": rf"""
     WITH docs AS (
@@ -147,4 +168,61 @@ ORACLES: dict[str, str] = {
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
     FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(other) AS m FROM reach GROUP BY id) r ON r.id = d.doc_id
     """,
+    "op12_merkle": f"""
+    WITH RECURSIVE written AS (
+      SELECT doc_id, lang,
+        list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+          lambda crc, b: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, b)),
+          CAST(4294967295 AS BIGINT)) AS crc,
+        {written("CAST(doc_id AS VARCHAR)")} || {written("source")} || {written("lang")} || {written("CAST(n_chars AS VARCHAR)")} AS head,
+        {written("text")} AS tail, {written(LOWER)} AS small
+      FROM documents),
+    leaves AS (
+      SELECT doc_id, lang, sha256(head || tail) AS leaf, sha256(head || CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN small ELSE tail END) AS claimed,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place FROM written),
+    below AS (
+      SELECT 0 AS level, lang, place // 8 AS run, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY lang, place // 8
+      UNION ALL
+      SELECT level + 1, lang, run // 8, list(sha256(array_to_string(nodes, '')) ORDER BY run)
+      FROM (SELECT *, max(run) OVER (PARTITION BY lang) AS last, max(len(nodes)) OVER (PARTITION BY lang) AS widest FROM below)
+      WHERE last > 0 OR widest > 1 GROUP BY level, lang, run // 8),
+    subroots AS (SELECT lang, nodes[1] AS subroot FROM below b WHERE len(nodes) = 1 AND level = (SELECT max(level) FROM below c WHERE c.lang IS NOT DISTINCT FROM b.lang)),
+    placed AS (SELECT lang, subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM subroots),
+    above AS (
+      SELECT 0 AS level, place // 8 AS run, list(subroot ORDER BY place) AS nodes FROM placed GROUP BY place // 8
+      UNION ALL
+      SELECT level + 1, run // 8, list(sha256(array_to_string(nodes, '')) ORDER BY run)
+      FROM (SELECT *, max(run) OVER () AS last, max(len(nodes)) OVER () AS widest FROM above) WHERE last > 0 OR widest > 1 GROUP BY level, run // 8),
+    whole AS (SELECT nodes[1] AS root FROM above WHERE level = (SELECT max(level) FROM above)),
+    up AS (
+      SELECT doc_id, lang, 0 AS level, place, claimed AS h, '' AS proof FROM leaves
+      UNION ALL
+      SELECT doc_id, u.lang, u.level + 1, u.place // 8, sha256(array_to_string(nodes[: u.place % 8] || [h] || nodes[u.place % 8 + 2 :], '')),
+        proof || array_to_string(nodes[: u.place % 8] || nodes[u.place % 8 + 2 :], '')
+      FROM up u JOIN below b ON b.lang IS NOT DISTINCT FROM u.lang AND b.level = u.level AND b.run = u.place // 8
+      WHERE EXISTS (SELECT 1 FROM below c WHERE c.lang IS NOT DISTINCT FROM u.lang AND c.level = u.level + 1)),
+    climbed AS (SELECT doc_id, lang, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM up GROUP BY doc_id, lang),
+    climbing AS (
+      SELECT doc_id, 0 AS level, place, h, proof FROM climbed c JOIN placed p ON p.lang IS NOT DISTINCT FROM c.lang
+      UNION ALL
+      SELECT doc_id, o.level + 1, o.place // 8, sha256(array_to_string(nodes[: o.place % 8] || [h] || nodes[o.place % 8 + 2 :], '')),
+        proof || array_to_string(nodes[: o.place % 8] || nodes[o.place % 8 + 2 :], '')
+      FROM climbing o JOIN above a ON a.level = o.level AND a.run = o.place // 8 WHERE o.level < (SELECT max(level) FROM above)),
+    ended AS (SELECT doc_id, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof FROM climbing GROUP BY doc_id)
+    SELECT l.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN ended e USING (doc_id), whole
+    """,
+    "op13_ranked_search": rf"""
+    WITH said AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM documents),
+    tfs AS (SELECT doc_id, term, count(*) AS tf FROM said GROUP BY doc_id, term),
+    sizes AS (SELECT doc_id, count(*) AS n FROM said GROUP BY doc_id),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, total GROUP BY term, docs),
+    asked AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+    scores AS (
+      SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+      FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id),
+    ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10
+    """,
 }
