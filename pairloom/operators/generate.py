@@ -24,6 +24,7 @@ from pairloom.operators.store import ResultsStore, live, new_entries
 from pairloom.session import scratch_dir
 
 CALL_COLUMNS = "result string, attempts int, error string, seconds double"
+CALL_NAMES = ["result", "attempts", "error", "seconds"]
 
 
 def offline_reply(text: str) -> str:
@@ -47,31 +48,75 @@ def call_with_retries(fn: Callable, args: tuple, max_retries: int, delay: float)
     return None, max_retries + 1, error, time.perf_counter() - began
 
 
+def call_list(fn: Callable, texts: list[str | None], rest: tuple = (), max_retries: int = C.MAX_RETRIES, delay: float = C.RETRY_DELAY) -> list[tuple]:
+    """(result, attempts, error, seconds) of every text, from calls with lists of texts.
+
+    A list whose call raises, or gives another number of replies than it has texts, is halved and the halves are asked on their
+    own, down to single texts, which are retried. So each text has its own result or error, as if it had been asked alone,
+    and f bad texts among n cost about 2 f log n calls. ``attempts`` counts the calls of the list that gave the outcome.
+    """
+    def whole(part: list[str], *rest):
+        replies = fn(part, *rest)
+        if len(replies) != len(part):
+            raise ValueError(f"{len(replies)} replies to {len(part)} texts")
+        return replies
+
+    out: list[tuple] = [(None, 0, None, 0.0)] * len(texts)
+    asked = [i for i, t in enumerate(texts) if t is not None]
+    waiting = [asked] if asked else []
+    while waiting:
+        part = waiting.pop()
+        replies, attempts, error, seconds = call_with_retries(whole, ([texts[i] for i in part], *rest), max_retries if len(part) == 1 else 0, delay)
+        if error is None:
+            for i, reply in zip(part, replies, strict=True):
+                out[i] = (reply, attempts, None, seconds / len(part))
+        elif len(part) == 1:
+            out[part[0]] = (None, attempts, error, seconds)
+        else:
+            if delay > 0:
+                time.sleep(delay)
+            waiting += [part[len(part) // 2 :], part[: len(part) // 2]]
+    return out
+
+
+def called(rows: DataFrame, calls: Callable, *inputs: Column) -> DataFrame:
+    """``rows`` with the columns of ``calls``, a function over batches of the inputs; only these go through Python.
+
+    The function counts as nondeterministic, so that the optimizer keeps one evaluation of it whatever is taken from its results.
+    """
+    made = F.pandas_udf(calls, CALL_COLUMNS).asNondeterministic()
+    return rows.withColumn("_call", made(*inputs)).select(*rows.columns, "_call.*")
+
+
 def generate(
     df: DataFrame,
-    fn: Callable[[str], str | None] = offline_reply,
+    fn: Callable = offline_reply,
     text: str = "text",
     max_retries: int = C.MAX_RETRIES,
     retry_delay: float = C.RETRY_DELAY,
-    setup: Callable[[], Callable[[str], str | None]] | None = None,
+    setup: Callable[[], Callable] | None = None,
     parallel: int | None = None,
+    batch: int | None = None,
 ) -> DataFrame:
-    """Adds result, attempts, error, seconds and status to each row.
+    """Adds result, attempts, error, seconds and status to each row; columns with these names are replaced.
 
-    ``setup`` makes the callable once per task (a client, a loaded model).
-    ``parallel`` sets the number of tasks and so bounds simultaneous calls.
+    ``fn`` takes a text and gives a reply; with ``batch`` it takes a list of at most so many texts and gives as many replies (see
+    ``call_list``). ``setup`` makes the callable once per task (a client, a loaded model). ``parallel`` sets the number of
+    tasks and so bounds simultaneous calls.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + CALL_COLUMNS
-    names = ["result", "attempts", "error", "seconds"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def calls(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         call = setup() if setup is not None else fn
-        for pdf in batches:
-            calls = [call_with_retries(call, (t,), max_retries, retry_delay) for t in pdf[text]]
-            yield pd.concat([pdf, pd.DataFrame(calls, columns=names, index=pdf.index)], axis=1)
+        for some in batches:
+            texts = some.tolist()
+            if batch is None:
+                made = [call_with_retries(call, (t,), max_retries, retry_delay) for t in texts]
+            else:
+                made = [r for i in range(0, len(texts), batch) for r in call_list(call, texts[i : i + batch], (), max_retries, retry_delay)]
+            yield pd.DataFrame(made, columns=CALL_NAMES)
 
-    rows = df.repartition(parallel) if parallel else df
-    return rows.mapInPandas(run, schema).withColumn("status", result_status(F.col("result")))
+    rows = df.drop(*CALL_NAMES) if text not in CALL_NAMES else df.drop(*[c for c in CALL_NAMES if c != text])
+    rows = rows.repartition(parallel) if parallel else rows
+    return called(rows, calls, F.col(text)).withColumn("status", result_status(F.col("result")))
 
 
 def classify(df: DataFrame, fn: Callable[[str], str | None], text: str = "text", **calls) -> DataFrame:
@@ -81,37 +126,64 @@ def classify(df: DataFrame, fn: Callable[[str], str | None], text: str = "text",
     return replied.withColumn("label", normalize_label(F.col("result"))).drop("prompt")
 
 
+def routed_calls(registry: Mapping[str, Callable], max_retries: int, delay: float, batch: int | None) -> Callable:
+    """A function over batches of (route, model name, text) that asks each route's callable.
+
+    With ``batch`` a callable takes (texts, model name), else (text, model name). Lists are filled with the texts of one route
+    and model of a whole Arrow batch. A route without a callable has no attempts and no error.
+    """
+    known = dict(registry)
+
+    def calls(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for routes, names, texts in batches:
+            body = texts.tolist()
+            made: list[tuple] = [(None, 0, None, 0.0)] * len(body)
+            alike: dict[tuple, list[int]] = {}
+            for i, (route, name) in enumerate(zip(routes.tolist(), names.tolist(), strict=True)):
+                if route in known and body[i] is not None:
+                    alike.setdefault((route, name), []).append(i)
+            for (route, name), places in alike.items():
+                for start in range(0, len(places), batch or 1):
+                    some = places[start : start + (batch or 1)]
+                    if batch is None:
+                        replies = [call_with_retries(known[route], (body[some[0]], name), max_retries, delay)]
+                    else:
+                        replies = call_list(known[route], [body[i] for i in some], (name,), max_retries, delay)
+                    for i, reply in zip(some, replies, strict=True):
+                        made[i] = reply
+            yield pd.DataFrame(made, columns=CALL_NAMES)
+
+    return calls
+
+
+def fixed_messages(registry: Mapping[str, Callable], route: Column, reply: Column, error: Column) -> Column:
+    """The reply, or the message for a provider without a callable, a failed call, a missing or empty reply."""
+    return (
+        F.when(~F.coalesce(route.isin(*registry), F.lit(False)), F.lit(C.UNKNOWN_PROVIDER))
+        .when(error.isNotNull(), F.lit(C.CALL_FAILED))
+        .otherwise(F.coalesce(F.nullif(reply, F.lit("")), F.lit(C.NO_RESULT)))
+    )
+
+
 def dispatch(
     df: DataFrame,
-    registry: Mapping[str, Callable[[str, str], str | None]],
+    registry: Mapping[str, Callable],
     provider: str = "provider",
     model: str = "model",
     text: str = "text",
     settings: DataFrame | None = None,
+    batch: int | None = None,
 ) -> DataFrame:
-    """Route each row to its provider's callable ``(text, model name) -> reply``.
+    """Route each row to its provider's callable ``(text, model name) -> reply``, or with ``batch`` ``(texts, model name) -> replies``.
 
     The reply is always a text: a missing reply, a failing call and a provider
-    without a callable have fixed messages.
+    without a callable have fixed messages. A text whose call fails leaves the others of its list as they are.
     """
     routed = resolve_model(df, provider, model, settings).withColumn("_route", canonical_provider(F.col(provider)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in routed.schema) + ", result string"
-    calls = dict(registry)
-
-    def reply(route: str, name: str, body: str) -> str:
-        if route not in calls:
-            return C.UNKNOWN_PROVIDER
-        try:
-            return calls[route](body, name) or C.NO_RESULT
-        except Exception:  # noqa: BLE001
-            return C.CALL_FAILED
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = zip(pdf["_route"], pdf["model_name"], pdf[text])
-            yield pdf.assign(result=[reply(*r) for r in rows])
-
-    out = routed.mapInPandas(run, schema).drop("_route")
+    routed = routed.drop(*[c for c in CALL_NAMES if c != text])
+    replied = called(routed, routed_calls(registry, 0, 0, batch), F.col("_route"), F.col("model_name"), F.col(text))
+    said = fixed_messages(registry, F.col("_route"), F.col("result"), F.col("error"))
+    out = replied.withColumn("result", said).drop("_route", "attempts", "error", "seconds")
     return out.withColumn("status", result_status(F.col("result")))
 
 
@@ -129,50 +201,41 @@ def memoized_dispatch(
     retry_delay: float = C.RETRY_DELAY,
     batch: int = C.MAX_REQUEST_TEXTS,
     operation: str = "dispatch",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``key, model_name, result, attempts, error, cached, status``: routed, memoised and retried in one.
 
-    A provider's callable takes a list of at most ``batch`` texts and a model name and returns as many replies; one that raises is called
-    again for the whole list. Each distinct (provider, model, text) without a live entry is called once; replies are
-    stored, fixed messages for a missing reply, a failed call and an unknown provider are not. NULL texts are
-    not called and have a NULL result. ``attempts`` is 0 for what was not called.
+    A provider's callable takes a list of at most ``batch`` texts and a model name and returns as many replies; a failing list
+    is taken apart until only the bad texts fail (``call_list``). Each distinct (provider, model, text) without a live entry is
+    asked once; replies are stored, fixed messages for a missing reply, a failed call and an unknown provider are not. NULL
+    texts are not asked and have a NULL result. ``attempts`` is 0 for what was not asked. The store is read once; ``hot`` names
+    keys (see ``hot_keys``) whose rows are spread over several tasks when the answers come back.
     """
     routed = resolve_model(df, provider, model, settings).withColumn("_route", canonical_provider(F.col(provider)))
-    keyed = routed.withColumn("key", cache_key({"text": F.col(text), "provider": F.col("_route"), "model": F.col("model_name")}, operation))
-    before = live(store.read(), now).select("key", F.get_json_object("value", "$.value").alias("_known"))
-    wanted = keyed.where(F.col(text).isNotNull()).groupBy("key").agg(*[F.first(c).alias(c) for c in ("_route", "model_name", text)])
-    missing = wanted.join(before, "key", "left_anti").select("key", "_route", "model_name", F.col(text).alias("_text"))
-    calls = dict(registry)
-
-    def ask(route: str, name: str, texts: list[str]) -> tuple[list[str | None], int, str | None]:
-        replies, attempts, error, _ = call_with_retries(calls[route], (texts, name), max_retries, retry_delay)
-        if error is None and len(replies) != len(texts):
-            replies, error = None, f"ValueError: {len(replies)} replies to {len(texts)} texts"
-        return ([None] * len(texts) if replies is None else replies), attempts, error
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for (route, name), rows in pdf.groupby(["_route", "model_name"], dropna=False, sort=False):
-                for start in range(0, len(rows), batch):
-                    some = rows.iloc[start : start + batch]
-                    if route not in calls:
-                        made = [(C.UNKNOWN_PROVIDER, 0, None)] * len(some)
-                    else:
-                        replies, attempts, error = ask(route, name, some["_text"].tolist())
-                        made = [(C.CALL_FAILED if error else r or C.NO_RESULT, attempts, error) for r in replies]
-                    yield pd.DataFrame(made, columns=["_made", "attempts", "error"]).assign(key=some["key"].to_numpy())
-
+    key = cache_key({"text": F.col(text), "provider": F.col("_route"), "model": F.col("model_name")}, operation)
+    keyed = routed.withColumn("key", key)
+    wanted = keyed.where(F.col(text).isNotNull()).groupBy("key").agg(*[F.first(c).alias(c) for c in ("_route", "model_name")], F.first(text).alias("_text"))
+    known = live(store.read(), now).select("key", F.get_json_object("value", "$.value").alias("_known"))
+    todo = F.when(F.col("_known").isNull(), F.col("_text"))
+    asked = called(wanted.join(known, "key", "left"), routed_calls(registry, max_retries, retry_delay, batch), F.col("_route"), F.col("model_name"), todo)
+    said = fixed_messages(registry, F.col("_route"), F.col("result"), F.col("error"))
     # Paid answers are written before anything reads them twice.
-    path = scratch_dir(df.sparkSession, "answers")
-    schema = "_made string, attempts int, error string, key string"
-    missing.mapInPandas(run, schema).write.parquet(path)
-    answers = df.sparkSession.read.schema(schema).parquet(path)
-    good = answers.where(~F.col("_made").isin(*C.FALLBACK_REPLIES))
+    answers = _written(asked.select("key", "_known", F.when(F.col("_known").isNull(), said).alias("_made"), "attempts", "error"), "answers")
+    good = answers.where(F.col("_made").isNotNull() & ~F.col("_made").isin(*C.FALLBACK_REPLIES))
     store.put(new_entries(good.select("key", F.to_json(F.struct(F.col("_made").alias("value"))).alias("value")), now, ttl))
-    found = keyed.join(before, "key", "left").join(answers, "key", "left")
+    # NULL texts have no answer: each gets a slot of its own instead of meeting in the task of one key
+    slot = F.when(F.col(text).isNotNull(), F.col("key")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    plain = keyed.drop("attempts", "error", "result").withColumn("_slot", slot)
+    found = lookup(plain, answers.withColumnRenamed("key", "_slot"), "_slot", "left", None if hot is None else hot.select(F.col("key").alias("_slot")))
     return found.withColumns({
         "result": F.coalesce("_known", "_made"), "attempts": F.coalesce("attempts", F.lit(0)), "cached": F.col("_known").isNotNull(),
-    }).withColumn("status", result_status(F.col("result"))).drop("_known", "_made", "_route")
+    }).withColumn("status", result_status(F.col("result"))).drop("_known", "_made", "_route", "_slot")
+
+
+def _written(answers: DataFrame, label: str) -> DataFrame:
+    path = scratch_dir(answers.sparkSession, label)
+    answers.write.parquet(path)
+    return answers.sparkSession.read.schema(answers.schema).parquet(path)
 
 
 def retry_pass(
@@ -245,20 +308,16 @@ def memoized_transform(
     """
     keyed = df.withColumn("key", cache_key({c: F.col(c) for c in arguments}, operation, prefix))
     if skip_cache:
-        return generate(keyed, fn, text, **calls).drop("attempts", "error", "seconds", "status").withColumn(
-            "cached", F.lit(False)
-        )
-    known = live(store.read(), now).select("key")
+        # Written, so that whatever reads the rows, and how often, each text is called once.
+        made = generate(keyed, fn, text, **calls).drop("attempts", "error", "seconds", "status")
+        return _written(made, "answers").withColumn("cached", F.lit(False))
     # One row per key before anything else: a text that fills a third of the
     # table is called once and its rows do not meet in one task.
-    wanted = keyed.groupBy("key").agg(F.first(text).alias(text))
-    answers = generate(wanted.join(known, "key", "left_anti"), fn, text, **calls)
-    made = answers.where(F.col("result").isNotNull()).select(
-        "key", F.to_json(F.struct(F.col("result").alias("value"))).alias("value")
-    )
-    before = store.read()
-    store.put(new_entries(made, now, ttl))
-    hits = live(before, now).select("key", F.lit(True).alias("_cached"))
-    values = live(store.read(), now).select("key", F.get_json_object("value", "$.value").alias("result"))
-    table = values.join(hits, "key", "left").withColumn("cached", F.coalesce("_cached", F.lit(False))).drop("_cached")
-    return lookup(keyed, table, "key", "left", hot).withColumn("cached", F.coalesce("cached", F.lit(False)))
+    wanted = keyed.groupBy("key").agg(F.first(text).alias("_text"))
+    known = live(store.read(), now).select("key", F.get_json_object("value", "$.value").alias("_known"))
+    asked = wanted.join(known, "key", "left").withColumn("_ask", F.when(F.col("_known").isNull(), F.col("_text")))
+    made = generate(asked, fn, "_ask", **calls)
+    answers = _written(made.select("key", F.coalesce("_known", "result").alias("result"), F.col("_known").isNotNull().alias("cached")), "answers")
+    fresh = answers.where(~F.col("cached") & F.col("result").isNotNull())
+    store.put(new_entries(fresh.select("key", F.to_json(F.struct(F.col("result").alias("value"))).alias("value")), now, ttl))
+    return lookup(keyed.drop("result", "cached"), answers, "key", "left", hot).withColumn("cached", F.coalesce("cached", F.lit(False)))

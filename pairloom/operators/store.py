@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pairloom import constants as C
 from pairloom.operators.lookup import lookup
@@ -97,10 +98,13 @@ def store_purge_expired(store: DataFrame, now: Column) -> DataFrame:
 
 
 def store_compact(store: DataFrame, now: Column, max_rows: int) -> DataFrame:
-    """Drop expired entries; if ``max_rows`` or more are left, also the quarter that was created first.
+    """A store of ``max_rows`` or more loses its expired entries; if still as many are left, also the quarter created first.
 
-    Only creation time and key are ranked, to find the last entry to go; the store is then filtered by it.
+    A store with fewer rows stays as it is. Only creation time and key are ranked, to find the last entry to go; the store is then
+    filtered by it.
     """
+    if store.count() < max_rows:
+        return store
     kept = store_purge_expired(store, now)
     n = kept.count()
     if n < max_rows or n < 4:
@@ -110,37 +114,88 @@ def store_compact(store: DataFrame, now: Column, max_rows: int) -> DataFrame:
     return kept.where((F.col("created_at") > at) | (F.col("created_at") == at) & (F.col("key") > key))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it lies in."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``<prefix><number>`` in a folder, in order."""
+    path, fs = _hadoop(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+
+
+def finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to the folder was committed."""
+    path, fs = _hadoop(spark, f"{folder}/_SUCCESS")
+    return fs.exists(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, fs = _hadoop(spark, folder)
+    fs.delete(path, True)
+
+
+class EpochLog:
+    """What each micro-batch of a stream decided, one folder ``epoch=N`` each.
+
+    A micro-batch that runs again finds what it decided before, if that was committed, and replaces it otherwise.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def folder(self, epoch: int) -> str:
+        return f"{self.path}/epoch={epoch}"
+
+    def write(self, rows: DataFrame, epoch: int) -> DataFrame:
+        rows.write.mode("overwrite").parquet(self.folder(epoch))
+        return self.spark.read.schema(rows.schema).parquet(self.folder(epoch))
+
+    def read(self, epoch: int, schema: str | StructType) -> DataFrame | None:
+        """The rows of a committed epoch, else None."""
+        if epoch < 0 or not finished(self.spark, self.folder(epoch)):
+            return None
+        return self.spark.read.schema(schema).parquet(self.folder(epoch))
+
+    def last(self, before: int) -> int:
+        """The last committed epoch before a number, -1 if there is none."""
+        done = [n for n in numbered(self.spark, self.path, "epoch=") if n < before]
+        return next((n for n in reversed(done) if finished(self.spark, self.folder(n))), -1)
+
+    def forget(self, before: int) -> None:
+        """Remove the epochs before a number: only the last one can be run again."""
+        for n in numbered(self.spark, self.path, "epoch="):
+            if n < before:
+                remove(self.spark, self.folder(n))
+
+
 class ResultsStore:
     """A store in ``path/gen=G/ver=V``: one folder per write.
 
     Writing appends a version and rewriting starts a generation; readers use
     the last generation and the versions in it that finished. A version that is
     written again under its number replaces itself, so a retried write is safe.
-    One writer at a time.
+    After ``max_versions`` writes the versions are merged to a generation; of the
+    earlier ones the last ``KEPT`` stay for readers that began with them. One
+    writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    KEPT = 2
 
-    def _numbers(self, folder: str, prefix: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+    def __init__(self, spark: SparkSession, path: str, max_versions: int = 64):
+        self.spark, self.path, self.max_versions = spark, path.rstrip("/"), max_versions
 
     def _finished(self, gen: int) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        out = []
-        for v in self._numbers(f"{self.path}/gen={gen}", "ver="):
-            done = path(f"{self.path}/gen={gen}/ver={v}/_SUCCESS")
-            if done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
-                out.append(v)
-        return out
+        folder = f"{self.path}/gen={gen}"
+        return [v for v in numbered(self.spark, folder, "ver=") if finished(self.spark, f"{folder}/ver={v}")]
 
     def _current(self) -> tuple[int, list[int]]:
-        for gen in reversed(self._numbers(self.path, "gen=")):
+        for gen in reversed(numbered(self.spark, self.path, "gen=")):
             versions = self._finished(gen)
             if versions:
                 return gen, versions
@@ -163,11 +218,16 @@ class ResultsStore:
         number = max(versions, default=-1) + 1 if version is None else version
         once = latest(entries.select(*ENTRY), _write_order())
         once.write.mode("overwrite").parquet(f"{self.path}/gen={gen}/ver={number}")
+        if version is None and len(versions) >= self.max_versions:
+            self.rewrite(self.read())
 
     def rewrite(self, entries: DataFrame) -> None:
         """Publish the given entries as the whole store."""
         gen, _ = self._current()
         entries.select(*ENTRY).write.mode("overwrite").parquet(f"{self.path}/gen={gen + 1}/ver=0")
+        for old in numbered(self.spark, self.path, "gen="):
+            if old < gen + 1 - self.KEPT:
+                remove(self.spark, f"{self.path}/gen={old}")
 
     def clear(self) -> None:
         self.rewrite(self.spark.createDataFrame([], ENTRY_SCHEMA))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairloom import constants as C
 from pairloom.operators import admission as A
 from pairloom.operators.bucket import token_bucket_admit
 from pairloom.operators.carried import hierarchical_admit, sliding_window_admit
@@ -240,22 +241,41 @@ def _(spark, sf):
     return run_to_latest(m, ["event_type"], "t6").withColumns({c: r6(c) for c in ("average_response_time", "cache_hit_rate")})
 
 
-SQL_REWRITES = "(SELECT doc_id, text AS original, 'Processed: ' || text AS paraphrase FROM documents)"
+# Four micro-batches of a stream: its files come in the order of ``part``. Some texts are missing or blank.
+SQL_INTAKE = (
+    "(SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN NULL WHEN doc_id % 13 = 5 THEN '  ' ELSE text END AS text, "
+    "(doc_id // 7) % 4 AS part FROM documents)"
+)
+SQL_REWRITES = (
+    f"(SELECT i.doc_id, i.text AS original, 'Processed: ' || i.text AS paraphrase, first_part < part AS cached FROM {SQL_INTAKE} i "
+    f"JOIN (SELECT text, min(part) AS first_part FROM {SQL_INTAKE} WHERE trim(text) <> '' GROUP BY text) USING (text))"
+)
+
+
+def intake(spark, sf):
+    """The documents as files that a stream reads one after the other."""
+    path = scratch_dir(spark, "intake")
+    d = table(spark, sf, "documents")
+    body = F.when(F.col("doc_id") % 11 == 3, F.lit(None)).when(F.col("doc_id") % 13 == 5, F.lit("  ")).otherwise(F.col("text"))
+    rows = d.select("doc_id", body.alias("text"), (F.floor(F.col("doc_id") / 7) % 4).alias("part"))
+    for part in range(4):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return read_stream(spark, path, max_files=1)
 
 
 @query(
     "t1_stream_rewrite_and_score",
-    f"WITH {sql_scores(SQL_REWRITES, 'doc_id')} SELECT doc_id, "
+    f"WITH {sql_scores(SQL_REWRITES, 'doc_id')} SELECT doc_id, paraphrase AS result, "
     + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
-    + ", CAST(NULL AS VARCHAR) AS violation, "
-    "original IN (SELECT text FROM documents WHERE lang = 'fr') AS cached FROM scored",
+    + ", CAST(NULL AS VARCHAR) AS violation, cached FROM scored UNION ALL SELECT doc_id, NULL, "
+    + ", ".join("0" for _ in METRICS)
+    + f", CASE WHEN text IS NULL THEN '{C.NOT_A_STRING}' ELSE '{C.EMPTY_TEXT}' END, false FROM {SQL_INTAKE} WHERE text IS NULL OR trim(text) = ''",
 )
 def _(spark, sf):
-    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    kept = ResultsStore(spark, scratch_dir(spark, "memo"))
-    d = read_stream(spark, f"{sf}/documents.parquet")
+    path = scratch_dir(spark, "t1")
+    texts = intake(spark, sf)
+    now = lambda: F.lit("2024-01-20 00:00:00").cast("timestamp")
+    kept = ResultsStore(spark, f"{path}/memo")
     cores = spark.sparkContext.defaultParallelism
-    french = d.where("lang = 'fr'").select("doc_id", "text")
-    SS.remember(run_to_table(SS.stream_rewrite_and_score(french, parallel=cores), "t1"), kept, now)
-    out = run_to_table(SS.stream_rewrite_and_score(d.select("doc_id", "text"), kept, now, parallel=cores), "t1")
-    return out.select("doc_id", *[r6(m).alias(m) for m in METRICS], "violation", "cached")
+    SS.start_rewrite_and_score(texts, kept, path, now, parallel=cores).awaitTermination()
+    return SS.scored_rows(texts, path).select("doc_id", "result", *[r6(m).alias(m) for m in METRICS], "violation", "cached")

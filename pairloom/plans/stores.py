@@ -236,7 +236,8 @@ def wide_store(spark, sf):
 @query(
     "w8_store_compact",
     f"WITH kept AS (SELECT *, row_number() OVER (ORDER BY created_at, key) AS rn, count(*) OVER () AS n FROM {SQL_WIDE} WHERE {LIVE}) "
-    f"SELECT {SHOWN} FROM kept WHERE n < 1000 OR rn > n // 4",
+    f"SELECT {SHOWN} FROM kept WHERE (SELECT count(*) FROM {SQL_WIDE}) >= 1000 AND (n < 1000 OR rn > n // 4) "
+    f"UNION ALL SELECT {SHOWN} FROM {SQL_WIDE} WHERE (SELECT count(*) FROM {SQL_WIDE}) < 1000",
 )
 def _(spark, sf):
     return shown(S.store_compact(wide_store(spark, sf), now(), 1000))
@@ -330,7 +331,8 @@ SQL_STORED = "event_type = 'view' AND user_id >= 10"
 )
 def _(spark, sf):
     def first(texts, model):
-        if int(texts[0].split("|", 1)[0]) < 5:
+        # one text like this fails the call of its whole list
+        if any(int(t.split("|", 1)[0]) < 5 for t in texts):
             raise RuntimeError("refused")
         return [f"o/{model}/{t.split('|', 1)[1]}" for t in texts]
 
@@ -341,7 +343,7 @@ def _(spark, sf):
     e = routed(table(spark, sf, "events")).withColumn("text", F.concat_ws("|", F.col("user_id").cast("string"), "props"))
     settings = spark.createDataFrame(SETTINGS, "provider string, override string, file_value string")
     kept = S.ResultsStore(spark, scratch_dir(spark, "dispatch"))
-    calls = {"settings": settings, "max_retries": 1, "retry_delay": 0, "batch": 1}
+    calls = {"settings": settings, "max_retries": 1, "retry_delay": 0}
     earlier = F.lit("2024-01-19 23:30:00").cast("timestamp")
     rows = e.select("event_id", "event_type", "provider", "model", "text")
     G.memoized_dispatch(rows.where("event_type = 'view'"), {"gemini": second}, kept, earlier, **calls)
@@ -367,7 +369,27 @@ def _(spark, sf):
     return done.select("doc_id", "result", "status", F.col("attempts").cast("bigint").alias("attempts"), "wait")
 
 
-@query("u8_with_observation", "SELECT doc_id, true AS timed, 'ok' AS status FROM documents")
+@query(
+    "u8_with_observation",
+    "SELECT doc_id, true AS timed, CASE WHEN lang = 'de' THEN 'failed' ELSE 'ok' END AS status, (SELECT count(*) FROM documents) AS calls, "
+    "(SELECT count(*) FROM documents WHERE lang = 'de') AS errors, true AS summed FROM documents",
+)
 def _(spark, sf):
-    made, _ = G.with_observation(table(spark, sf, "documents").select("doc_id", "text"))
-    return made.select("doc_id", (F.col("seconds") >= 0).alias("timed"), "status")
+    def model(text):
+        if text.startswith("de:"):
+            raise ValueError("no model for it")
+        return C.OFFLINE_REPLY_PREFIX + text
+
+    asked = F.concat(F.when(F.col("lang") == "de", F.lit("de:")).otherwise(F.lit("")), "text")
+    d = table(spark, sf, "documents").select("doc_id", asked.alias("text"))
+    made, seen = G.with_observation(d, model, max_retries=0)
+    path = scratch_dir(spark, "observed")
+    made.select("doc_id", "seconds", "status").write.parquet(path)
+    totals = seen.get  # there since the rows were written
+    rows = spark.read.parquet(path)
+    written = rows.agg(F.sum("seconds").alias("sum"), F.max("seconds").alias("most")).first()
+    agree = abs(written["sum"] - totals["seconds"]) < 1e-6 and written["most"] == totals["slowest"]
+    return rows.select(
+        "doc_id", (F.col("seconds") >= 0).alias("timed"), "status",
+        F.lit(totals["calls"]).alias("calls"), F.lit(totals["errors"]).alias("errors"), F.lit(agree).alias("summed"),
+    )

@@ -11,7 +11,7 @@ from pairloom import constants as C
 from pairloom.functions.requests import cache_key
 from pairloom.operators.evaluate import evaluate_batch
 from pairloom.operators.generate import generate, offline_reply
-from pairloom.operators.store import ResultsStore, live, new_entries
+from pairloom.operators.store import EpochLog, ResultsStore, live, new_entries, numbered
 from pairloom.operators.summaries import request_metrics
 from pairloom.operators.validate import text_violation
 
@@ -28,8 +28,8 @@ def stream_rewrite_and_score(
 ) -> DataFrame:
     """Validate, look up or generate, and score each text of a stream.
 
-    Texts with a live entry in the store (as it is when the query starts) are
-    not generated; invalid texts (NULL, blank, above ``max_chars`` if given) are marked
+    One pass without a store of its own: texts with a live entry in the store (as it is when the query starts) are
+    not generated, new ones are as often as they come (``start_rewrite_and_score`` asks once); invalid texts (NULL, blank, above ``max_chars`` if given) are marked
     and neither generated nor scored.
     Write the result with ``append_parquet`` and add the new ones to the store
     with :func:`remember`.
@@ -53,6 +53,77 @@ def stream_rewrite_and_score(
     return scored
 
 
+def _asked(rows: DataFrame, text: str, operation: str, max_chars: int | None) -> DataFrame:
+    return rows.withColumn("violation", text_violation(F.col(text), max_chars)).withColumn("key", cache_key({"text": F.col(text)}, operation))
+
+
+def _answered(asked: DataFrame, answers: DataFrame, text: str) -> DataFrame:
+    """The rows with their answers (``key``, ``_known``, ``_made``, ``error``) and scores; invalid ones have none."""
+    # rows without a text to ask do not meet in the task of one key
+    slot = F.when(F.col("violation").isNull(), F.col("key")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    found = asked.withColumn("_slot", slot).join(answers.withColumnsRenamed({"key": "_slot", "error": "call_error"}), "_slot", "left").drop("_slot")
+    cached = F.col("_known").isNotNull()
+    told = found.withColumns({"result": F.coalesce("_known", "_made"), "cached": cached}).drop("_known", "_made")
+    return evaluate_batch(told, original=text, paraphrase="result")
+
+
+ANSWER = "key string, _known string, _made string, error string"
+
+
+def start_rewrite_and_score(
+    texts: DataFrame,
+    store: ResultsStore,
+    path: str,
+    now: Callable[[], Column] | None = None,
+    fn: Callable[[str], str | None] = offline_reply,
+    text: str = "text",
+    operation: str = "generate",
+    max_chars: int | None = None,
+    ttl: int | None = C.MEMO_TTL_SECONDS,
+    available_now: bool = True,
+    **calls,
+):
+    """Start a query that validates, looks up or generates, stores and scores the texts of a stream.
+
+    Each micro-batch asks the model once for every distinct valid text without a live entry in the store, which
+    holds what all earlier micro-batches made, and what other jobs made meanwhile. In this order: (1) its answers are written
+    to ``path/answers/epoch=N``; (2) the new ones go to the store; (3) its rows are written to ``path/rows/batch=N``. A
+    micro-batch that runs again takes its answers from (1), so it neither asks again nor changes a row, and replaces its
+    folders. ``cached`` says that the answer was there before the micro-batch. Failed calls are not stored: their texts are asked
+    again when they come again. ``now`` gives the time of a micro-batch, by default the clock's. Read the rows with ``scored_rows``.
+    """
+    spark = texts.sparkSession
+    log = EpochLog(spark, f"{path}/answers")
+
+    def step(rows: DataFrame, epoch: int) -> None:
+        at = now() if now else F.current_timestamp()
+        asked = _asked(rows, text, operation, max_chars)
+        answers = log.read(epoch, ANSWER)
+        if answers is None:
+            wanted = asked.where(F.col("violation").isNull()).groupBy("key").agg(F.first(text).alias("_text"))
+            known = live(store.read(), at).select("key", F.get_json_object("value", "$.value").alias("_known"))
+            todo = wanted.join(known, "key", "left").withColumn("_ask", F.when(F.col("_known").isNull(), F.col("_text")))
+            made = generate(todo, fn, "_ask", **calls)
+            answers = log.write(made.select("key", "_known", F.col("result").alias("_made"), "error"), epoch)
+        fresh = answers.where(F.col("_made").isNotNull())
+        store.put(new_entries(fresh.select("key", F.to_json(F.struct(F.col("_made").alias("value"))).alias("value")), at, ttl))
+        _answered(asked, answers, text).write.mode("overwrite").parquet(f"{path}/rows/batch={epoch}")
+        log.forget(epoch)
+
+    writer = texts.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def scored_rows(texts: DataFrame, path: str, text: str = "text", operation: str = "generate") -> DataFrame:
+    """The rows that ``start_rewrite_and_score`` has written for the stream ``texts`` so far."""
+    spark = texts.sparkSession
+    nothing = spark.createDataFrame([], texts.schema)
+    shape = _answered(_asked(nothing, text, operation, None), spark.createDataFrame([], ANSWER), text).schema
+    if not numbered(spark, f"{path}/rows", "batch="):
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).option("basePath", f"{path}/rows").parquet(f"{path}/rows").select(*shape.names)
+
+
 def remember(scored: DataFrame, store: ResultsStore, now: Column, ttl: int | None = C.MEMO_TTL_SECONDS) -> None:
     """Put the newly generated results of a finished run into the store."""
     fresh = scored.where(~F.col("cached") & F.col("result").isNotNull())
