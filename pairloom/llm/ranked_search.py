@@ -3,8 +3,8 @@
 A document's impact vector has a coordinate for every query term it holds. Vectors are range-partitioned by length,
 longest first, and cut in buckets. For a query and a bucket: (1) the bucket goes if the query's length times its
 longest vector is below the query's k-th best score so far; (2) inside, vectors are cut off at the length where the
-same bound falls below it; (3) the query's largest coordinates are multiplied out, and a vector goes if these and the bound on
-all other coordinates stay below; (4) what is left is scored exactly in whole numbers. Bounds are doubles with a margin;
+same bound falls below it; (3) the query's coordinates are multiplied out from the largest down, and a vector goes when these and
+the bound on all others stay below; (4) what is left is scored exactly in whole numbers. Bounds are doubles with a margin;
 they never decide a score, only what cannot reach one.
 """
 
@@ -23,8 +23,9 @@ from pairloom.llm.common import materialise, share, slices
 
 # Fixed by the scoring rule: weights in thousandths, tf saturated as a fraction of a million.
 WEIGHT, SCALE, TF, LENGTH, FLOOR, SLOPE = 1000, 1_000_000_000, 1000, 8, 25, 75
-# Query words a pass holds (a query longer than that has a pass of its own); vectors a bucket; coordinates multiplied out first.
-PASS_WORDS, BUCKET, FOCUS = 100_000, 1024, 6
+# Query words a pass holds (a query longer than that has a pass of its own); vectors a bucket; coordinates multiplied out
+# between two looks at the bound; so few vectors of a bucket are scored at once.
+PASS_WORDS, BUCKET, FOCUS, FEW = 100_000, 1024, 6, 8
 # Vectors from whose exact scores the first k-th best of every query is taken; any number gives the same result.
 SEED_ROWS = 20_000
 MARGIN = 1 + 1e-9
@@ -194,13 +195,20 @@ class Search:
             upto = int(np.searchsorted(-b.norms, -least / (self.norms[i] * MARGIN), side="right"))
             self.tried += upto
             product, used = np.zeros(upto), np.zeros(upto)
-            for term, s in zip(at[:FOCUS], size[:FOCUS], strict=True):
-                rows, values = b.holders(term, upto)
-                product[rows] += s * values
-                used[rows] += values * values
-            rest = np.sqrt(np.sum(size[FOCUS:] ** 2))
-            bound = product + rest * np.sqrt(np.maximum(b.norms[:upto] ** 2 - used, 0) + b.norms[:upto] ** 2 * 1e-12)
-            rows = np.flatnonzero(bound * MARGIN >= least)
+            for start in range(0, len(at), FOCUS):
+                for term, s in zip(at[start : start + FOCUS], size[start : start + FOCUS], strict=True):
+                    rows, values = b.holders(term, upto)
+                    product[rows] += s * values
+                    used[rows] += values * values
+                rest = np.sqrt(np.sum(size[start + FOCUS :] ** 2))
+                square = b.norms[:upto] ** 2
+                # what the other coordinates can add at most; rounding may leave the last bits of ``square``
+                bound = product + rest * np.sqrt(np.maximum(square - used, 0) + square * 1e-12)
+                rows = np.flatnonzero(bound * MARGIN >= least)
+                if len(rows) <= FEW:
+                    break
+                upto = int(rows[-1]) + 1
+                product, used = product[:upto], used[:upto]
             if len(rows):
                 self.scored += len(rows)
                 weights = np.zeros(len(self.q.weights), np.int64)
