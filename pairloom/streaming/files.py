@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pairloom.session import scratch_dir
 
+if TYPE_CHECKING:
+    from pairloom.streaming.admission import Admission
+
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Parquet files in folder ``path`` (or one file) as a stream; event times become TIMESTAMP.
@@ -37,8 +42,10 @@ def append_parquet(stream: DataFrame, path: str, checkpoint: str, available_now:
     return writer.start(path)
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+def run_to_table(stream: DataFrame | Admission, label: str) -> DataFrame:
     """Process everything that is there now and return the written rows."""
+    if not isinstance(stream, DataFrame):
+        return stream.run(scratch_dir(stream.stream.sparkSession, label))
     spark = stream.sparkSession
     path = scratch_dir(spark, label)
     append_parquet(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
