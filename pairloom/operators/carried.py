@@ -90,14 +90,18 @@ class SlidingWindow:
     def last_free_row(self, t: np.ndarray, classes: list[tuple]) -> int:
         """Start of the last stretch that the past cannot influence, or -1.
 
-        If all requests of the last two windows fit into the limit, those of
-        the last window were admitted, whatever came before; folding can start
-        with the first of them.
+        A request finds room, whatever came before, if all requests of the window up to it fit into the limit. If that
+        holds for every request of a window, all of them were admitted and nothing else counts; folding can start
+        with the first of them. It needs no more than the limit in any one window, so a chunk is without such a
+        stretch only if requests may be refused throughout.
         """
-        total = np.concatenate([[0], np.cumsum([c[0] for c in classes])])
-        demand = total[np.arange(len(t))] - total[np.searchsorted(t, t - 2 * self.window, side="right")]
-        free = np.flatnonzero((demand <= self.limit) & (t - 2 * self.window >= t[0]))
-        return int(np.searchsorted(t, t[free[-1]] - self.window, side="right")) if len(free) else -1
+        costs = np.array([c[0] if c[0] <= self.limit else 0 for c in classes])  # above the limit nothing is ever admitted
+        begin = np.searchsorted(t, t - self.window, side="right")
+        total = np.concatenate([[0], np.cumsum(costs)])
+        tight = (total[1:] - total[begin] > self.limit) | (t - self.window < t[0])
+        tights = np.concatenate([[0], np.cumsum(tight)])
+        free = np.flatnonzero(tights[1:] == tights[begin])
+        return int(begin[free[-1]]) if len(free) else -1
 
 
 class SharedAndOwn:

@@ -98,6 +98,34 @@ def test_hierarchical_equals_plain_loop(traffic, shared, limits):
     assert got == want
 
 
+def test_windows_below_the_limit_need_no_past():
+    """Whatever the entry state, the stretch that is called free leads to the same state; light and even load has one."""
+    rng = random.Random(12)
+    found = 0
+    for case in range(300):
+        limiter = SlidingWindow(rng.choice([2, 5, 12]), rng.choice([7, 40]))
+        t = np.sort(np.array([rng.randint(0, 400) for _ in range(rng.randint(1, 120))]))
+        kinds = [(rng.choice([0, 1, 1, 2, 50]),) for _ in t]
+        free = limiter.last_free_row(t, kinds)
+        if free < 0:
+            continue
+        found += 1
+        fresh = limiter.start()
+        for now, kind in zip(t[free:].tolist(), kinds[free:]):
+            limiter.step(fresh, now, kind)
+        for _ in range(4):
+            warm = limiter.start()
+            for now in sorted(int(t[0]) - rng.randint(0, 40) for _ in range(20)):
+                limiter.step(warm, now, (rng.choice([1, 2]),))
+            for now, kind in zip(t.tolist(), kinds):
+                limiter.step(warm, now, kind)
+            end = int(t[-1])
+            assert [e for e in warm["live"] if e[0] > end - limiter.window] == [e for e in fresh["live"] if e[0] > end - limiter.window], case
+    assert found > 60
+    even = np.arange(0, 1000, 10)  # ten in a window of a hundred: just what is allowed
+    assert SlidingWindow(10, 100).last_free_row(even, [(1,)] * 100) == 90 and SlidingWindow(9, 100).last_free_row(even, [(1,)] * 100) == -1
+
+
 def test_crossing_equals_stepping():
     rng = random.Random(2)
     for case in range(200):
