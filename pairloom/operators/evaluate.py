@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom import constants as C
 from pairloom.functions import similarity as S
-from pairloom.functions.text import candidate_words, is_wanted, normalize_text, split_words
+from pairloom.functions.text import candidate_words, is_wanted, normalize_text, sentence_count, split_words
 
 RECORD = (
     "lexical_similarity", "word_overlap", "jaccard_similarity", "length_ratio", "sentence_count_diff",
@@ -25,6 +25,7 @@ def token_counts(
     lemmas: DataFrame | None = None,
     original: str = "original",
     paraphrase: str = "paraphrase",
+    contractions: bool = False,
 ) -> DataFrame:
     """Term frequencies (keys, token, n_o, n_p) of both sides of each pair.
 
@@ -35,7 +36,7 @@ def token_counts(
     the table is joined.
     """
     sides = F.posexplode(F.array(original, paraphrase)).alias("side", "text")
-    words = pairs.select(*keys, sides).select(*keys, "side", F.explode(candidate_words(F.col("text"), mode)).alias("token"))
+    words = pairs.select(*keys, sides).select(*keys, "side", F.explode(candidate_words(F.col("text"), mode, contractions)).alias("token"))
     rows = words.where(is_wanted(F.col("token"), mode, stopwords))
     counts = rows.groupBy(*keys, "token").agg(
         F.count_if(F.col("side") == 0).alias("n_o"), F.count_if(F.col("side") == 1).alias("n_p")
@@ -75,6 +76,7 @@ def lexical_metrics(
     stopwords: Sequence[str] = C.STOPWORDS,
     original: str = "original",
     paraphrase: str = "paraphrase",
+    contractions: bool = False,
 ) -> DataFrame:
     """The same three metrics inside each row, without a shuffle.
 
@@ -83,8 +85,8 @@ def lexical_metrics(
     distinct counts in the time of a sort, whatever the length of the text.
     """
     tokens = pairs.withColumns({
-        "_o": normalize_text(F.col(original), mode, stopwords),
-        "_p": normalize_text(F.col(paraphrase), mode, stopwords),
+        "_o": normalize_text(F.col(original), mode, stopwords, contractions),
+        "_p": normalize_text(F.col(paraphrase), mode, stopwords, contractions),
     })
     ordered = tokens.withColumns({"_so": F.sort_array("_o"), "_sp": F.sort_array("_p")}).drop("_o", "_p")
     # Two sorted runs: the sort only has to merge them.
@@ -104,13 +106,15 @@ def lexical_metrics(
     }).drop("_oo", "_pp", "_bb", "_no", "_nb", "_shared")
 
 
-def structural_metrics(pairs: DataFrame, original: str = "original", paraphrase: str = "paraphrase") -> DataFrame:
+def structural_metrics(
+    pairs: DataFrame, original: str = "original", paraphrase: str = "paraphrase", sentences: Callable[[Column], Column] = sentence_count,
+) -> DataFrame:
     words = pairs.withColumns({"_wo": split_words(F.col(original)), "_wp": split_words(F.col(paraphrase))})
     wo, wp = F.col("_wo"), F.col("_wp")
     return words.withColumns({
         "length_ratio": S.length_ratio(wo, wp),
         "avg_word_length_diff": S.avg_word_length_diff(wo, wp),
-        "sentence_count_diff": S.sentence_count_diff(F.col(original), F.col(paraphrase)),
+        "sentence_count_diff": F.abs(sentences(F.col(original)) - sentences(F.col(paraphrase))).cast("int"),
     }).drop("_wo", "_wp")
 
 
@@ -140,23 +144,26 @@ def evaluate_batch(
     keys: Sequence[str] = (),
     original: str = "original",
     paraphrase: str = "paraphrase",
+    contractions: bool = False,
+    sentences: Callable[[Column], Column] = sentence_count,
 ) -> DataFrame:
     """The input with the full evaluation record of each pair.
 
-    Everything is computed in the row; with ``lemmas`` the tokens are joined
-    instead, which needs ``keys`` that identify a pair. Without ``semantic``
-    its column is NULL and does not count in the score.
+    With ``keys`` that identify a pair (none of them NULL) its tokens are counted as rows, in less time than the form in the row
+    that is used without; ``lemmas`` need them. Without ``semantic`` its column is NULL and does not count in the score.
+    ``contractions`` takes words like cannot apart; ``sentences`` counts sentences (``operators.sentences.counter``
+    gives a learned one).
     """
-    if lemmas is None:
-        scored = lexical_metrics(pairs, mode, stopwords, original, paraphrase)
-    else:
-        if not keys:
-            raise ValueError("lemmas need the key columns of a pair")
-        counts = token_counts(pairs, keys, mode, stopwords, lemmas, original, paraphrase)
+    if keys:
+        counts = token_counts(pairs, keys, mode, stopwords, lemmas, original, paraphrase, contractions)
         scored = pairs.join(lexical_from_counts(counts, keys), list(keys), "left").fillna(
             0.0, ["lexical_similarity", "word_overlap", "jaccard_similarity"]
         )
-    return complete_record(structural_metrics(scored, original, paraphrase), original, paraphrase, semantic)
+    elif lemmas is None:
+        scored = lexical_metrics(pairs, mode, stopwords, original, paraphrase, contractions)
+    else:
+        raise ValueError("lemmas need the key columns of a pair")
+    return complete_record(structural_metrics(scored, original, paraphrase, sentences), original, paraphrase, semantic)
 
 
 def evaluation_summary(evaluations: DataFrame, by: Sequence[str] = ()) -> DataFrame:

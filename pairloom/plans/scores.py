@@ -9,6 +9,7 @@ from pairloom.functions import requests as R
 from pairloom.functions import similarity as S
 from pairloom.functions import text as T
 from pairloom.operators import evaluate as E
+from pairloom.operators import sentences as SN
 from pairloom.operators import tokens as K
 from pairloom.operators.ordered import micros
 from pairloom.plans.common import (
@@ -168,6 +169,68 @@ def _(spark, sf):
     return document_pairs(spark, sf).select("doc_id", big(d).alias("sentence_count_diff"))
 
 
+# Quotes and brackets around words; a word; its type. Values of the method as in ``operators.sentences``.
+def sql_learned_sentences():
+    bare = "regexp_replace(regexp_replace(w, '" + SN.OPENING.replace("'", "''") + "', ''), '" + SN.CLOSING.replace("'", "''") + "', '')"
+    listed = f"list_filter(list_transform({sql_split('text')}, lambda w: {bare}), lambda w: w <> '')"
+    is_dot = lambda c: f"(regexp_matches({c}, '{SN.DOT}') AND NOT regexp_matches({c}, '{SN.ELLIPSIS}'))"
+    kind = lambda c: f"lower(regexp_replace({c}, '{SN.DOT}', ''))"
+    nlog = lambda k, p: f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END)"
+    likely = lambda k, m, p: f"({nlog(k, p)} + {nlog(f'({m} - {k})', f'(1 - {p})')})"
+    return f"""
+    listed AS (SELECT doc_id, {listed} AS ws FROM documents WHERE text IS NOT NULL),
+    words AS (SELECT doc_id, ws[i] AS core, ws[i + 1] AS next, {kind('ws[i]')} AS type, {kind('ws[i + 1]')} AS next_type, {is_dot('ws[i]')} AS dot
+      FROM listed, unnest(range(1, len(ws) + 1)) AS t(i)),
+    types AS (SELECT type, count(*) AS n, count(*) FILTER (dot) AS dots, len(type) - len(replace(type, '.', '')) AS inner_dots FROM words GROUP BY type),
+    chance AS (SELECT CAST(sum(dots) AS DOUBLE) / sum(n) AS c FROM types),
+    short AS (
+      SELECT type, -2 * ({likely('dots', 'n', 'c')} - (dots * ln({SN.PERIOD_SHARE}) + (n - dots) * ln({1 - SN.PERIOD_SHARE!r})))
+        * exp(-(len(type) - inner_dots)) * (inner_dots + 1) * pow(CAST(len(type) - inner_dots AS DOUBLE), -(n - dots)) AS score
+      FROM types, chance WHERE dots > 0 AND regexp_matches(type, '{SN.LETTER}') AND score >= {SN.ABBREVIATION_SCORE}),
+    followed AS (
+      SELECT next_type AS type, regexp_matches(core, '{SN.HARD}') OR (dot AND NOT regexp_matches(w.type, '{SN.NUMBER}')
+        AND NOT regexp_matches(w.type, '{SN.INITIAL}') AND w.type NOT IN (SELECT type FROM short)) AS sure FROM words w WHERE next IS NOT NULL),
+    nexts AS (SELECT type, count(*) AS n, count(*) FILTER (sure) AS hits FROM followed GROUP BY type),
+    ends AS (SELECT sum(n)::DOUBLE AS total, sum(hits)::DOUBLE AS e FROM nexts),
+    shares AS (SELECT *, n / total AS p, hits / e AS p1, (n - hits) / (total - e) AS p2 FROM nexts, ends WHERE hits > 0 AND regexp_matches(type, '{SN.WORD}')),
+    begins AS (
+      SELECT type, -2 * ({likely('hits', 'e', 'p')} + {likely('(n - hits)', '(total - e)', 'p')}
+        - {likely('hits', 'e', 'p1')} - {likely('(n - hits)', '(total - e)', 'p2')}) AS score FROM shares WHERE p1 > p AND score >= {SN.STARTER_SCORE})"""
+
+
+@query(
+    "f13_sentence_model",
+    f"WITH {sql_learned_sentences()} SELECT 'abbreviation' AS kind, type, round(score, 4) AS score FROM short UNION ALL SELECT 'starter', type, round(score, 4) FROM begins",
+)
+def _(spark, sf):
+    model = SN.learn(table(spark, sf, "documents"))
+    return model.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "f13_sentence_count_learned",
+    f"""
+    WITH {sql_learned_sentences()},
+    broken AS (
+      SELECT doc_id, count(*) AS n FROM words w WHERE next IS NOT NULL AND CASE
+        WHEN regexp_matches(core, '{SN.HARD}') THEN true
+        WHEN regexp_matches(core, '{SN.ELLIPSIS}') THEN regexp_matches(next, '{SN.BIG}')
+        WHEN NOT dot THEN false
+        WHEN regexp_matches(type, '{SN.NUMBER}') THEN NOT regexp_matches(next, '{SN.SMALL}')
+        WHEN regexp_matches(type, '{SN.INITIAL}') OR type IN (SELECT type FROM short)
+          THEN next_type IN (SELECT type FROM begins) AND regexp_matches(next, '{SN.BIG}')
+        ELSE true END GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(n, 0) + 1 END AS sentences, true AS alike FROM listed LEFT JOIN broken USING (doc_id)
+    """,
+)
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    model = SN.learn(d)
+    joined = SN.count_sentences(d, model, ["doc_id"])
+    in_row = d.select("doc_id", SN.counter(model)(F.col("text")).alias("_n"))
+    return joined.join(in_row, "doc_id").select("doc_id", "sentences", (F.col("sentences") == F.col("_n")).alias("alike"))
+
+
 @query(
     "f15_overall_score",
     "SELECT event_id, round(CASE WHEN event_type = 'error' THEN (0.3 * (1 - abs(l - 0.3) / 0.7) + 0.2 * (1 - o) + 0.2 * r) / 0.7 "
