@@ -57,11 +57,11 @@ def tokenize_pairs(
     max_target: int | None = None,
     prefix: str = C.SEQ2SEQ_PREFIX,
 ) -> DataFrame:
-    """(keys, input_ids, labels) of (text1, text2) pairs; cut only to a length that is given.
+    """(keys, input_ids, attention_mask, labels) of (text1, text2) pairs; cut only to a length that is given.
 
-    ``tokenizer`` makes, once per task, a function ``(texts, max length) ->
-    lists of ids``. Without one, ids come from ``vocab`` (default: the
-    vocabulary of the pairs themselves).
+    A row per pair; a NULL side has no ids. The mask is 1 for every id, as nothing is padded. ``tokenizer`` makes, once per
+    task, a function ``(texts, max length) -> lists of ids`` (``operators.subwords.tokenizer`` does). Without one, ids come from
+    ``vocab`` (default: the vocabulary of the pairs themselves), and words that it lacks have the id 0.
     """
     if tokenizer is not None:
         schema = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
@@ -69,13 +69,13 @@ def tokenize_pairs(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             encode = tokenizer()
             for pdf in batches:
+                source = encode([None if t is None else prefix + t for t in pdf.text1], max_source)
                 yield pdf[keys].assign(
-                    input_ids=encode([prefix + t for t in pdf.text1], max_source),
-                    labels=encode(pdf.text2.tolist(), max_target),
+                    input_ids=source, attention_mask=[[1] * len(ids) for ids in source], labels=encode(pdf.text2.tolist(), max_target),
                 )
 
         return pairs.select(*keys, "text1", "text2").mapInPandas(
-            run, schema + ", input_ids array<int>, labels array<int>"
+            run, schema + ", input_ids array<int>, attention_mask array<int>, labels array<int>"
         )
 
     vocab = vocabulary(pairs, prefix=prefix) if vocab is None else vocab
@@ -87,14 +87,15 @@ def tokenize_pairs(
     def cut_to(tokens, n):
         return tokens if n is None else F.slice(tokens, 1, n)
 
-    source = cut_to(tokenize(F.concat(F.lit(prefix), F.col("text1"))), max_source)
-    target = cut_to(tokenize(F.col("text2")), max_target)
+    none = F.array().cast("array<string>")
+    source = F.coalesce(cut_to(tokenize(F.concat(F.lit(prefix), F.col("text1"))), max_source), none)
+    target = F.coalesce(cut_to(tokenize(F.col("text2")), max_target), none)
     rows = pairs.select(
-        *keys, F.explode(F.concat(tagged(source, 0), tagged(target, 1))).alias("x")
+        *keys, F.explode_outer(F.concat(tagged(source, 0), tagged(target, 1))).alias("x")
     ).select(*keys, "x.*")
     # A join of any size: a word that fills large parts of all texts is a skewed key, which adaptive execution splits.
-    coded = rows.join(vocab, "token")
-    entry = F.struct("i", "token_id")
+    coded = rows.join(vocab, "token", "left")
+    entry = F.struct("i", F.coalesce("token_id", F.lit(0)).alias("token_id"))
     lists = coded.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == 0, entry))).alias("s"),
         F.array_sort(F.collect_list(F.when(F.col("side") == 1, entry))).alias("t"),
@@ -102,5 +103,6 @@ def tokenize_pairs(
     return lists.select(
         *keys,
         F.transform("s", lambda e: e["token_id"].cast("int")).alias("input_ids"),
+        F.array_repeat(F.lit(1), F.size("s")).alias("attention_mask"),
         F.transform("t", lambda e: e["token_id"].cast("int")).alias("labels"),
     )

@@ -9,7 +9,9 @@ from pairloom.functions import requests as R
 from pairloom.functions import similarity as S
 from pairloom.functions import text as T
 from pairloom.operators import evaluate as E
+from pairloom.operators import semantic as SM
 from pairloom.operators import sentences as SN
+from pairloom.operators import subwords as SW
 from pairloom.operators import tokens as K
 from pairloom.operators.ordered import micros
 from pairloom.plans.common import (
@@ -404,12 +406,59 @@ SQL_TARGET = sql_tokens("paraphrase")
       SELECT conv_id, turn, unnest(s[1:64]) AS token, generate_subscripts(s[1:64], 1) AS i FROM p) JOIN vocab USING (token) GROUP BY ALL),
     tgt AS (SELECT conv_id, turn, string_agg(id, ',' ORDER BY i) AS labels FROM (
       SELECT conv_id, turn, unnest(t[1:32]) AS token, generate_subscripts(t[1:32], 1) AS i FROM p) JOIN vocab USING (token) GROUP BY ALL)
-    SELECT conv_id, turn, input_ids, coalesce(labels, '') AS labels FROM src LEFT JOIN tgt USING (conv_id, turn)
+    SELECT conv_id, turn, coalesce(input_ids, '') AS input_ids, repeat('1', len(string_split(input_ids, ','))) AS attention_mask, coalesce(labels, '') AS labels
+    FROM p LEFT JOIN src USING (conv_id, turn) LEFT JOIN tgt USING (conv_id, turn)
     """,
 )
 def _(spark, sf):
     pairs = conversation_pairs(spark, sf).withColumnsRenamed({"original": "text1", "paraphrase": "text2"})
     ids = K.tokenize_pairs(pairs, ["conv_id", "turn"], max_source=64, max_target=32)
     return ids.select(
-        "conv_id", "turn", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels")
+        "conv_id", "turn", F.array_join("input_ids", ",").alias("input_ids"),
+        F.array_join(F.transform("attention_mask", lambda m: m.cast("string")), "").alias("attention_mask"), F.array_join("labels", ",").alias("labels"),
     )
+
+
+@query("u4_tokenize_pairs_subword")
+def _(spark, sf):
+    pairs = document_pairs(spark, sf).withColumnsRenamed({"original": "text1", "paraphrase": "text2"})
+    model = SW.learn(table(spark, sf, "documents"), ("text",), size=2000, rounds=3)
+    ids = K.tokenize_pairs(pairs, ["doc_id"], tokenizer=SW.tokenizer(model))
+    return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"), big(F.size("attention_mask")).alias("n_source"))
+
+
+# Features of a text, their weights, and the bits of their md5 as directions: component by component.
+SQL_FEATURES = f"(SELECT doc_id, w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS f FROM (SELECT doc_id, {sql_norm('text')} AS w FROM documents))"
+SQL_VECTORS = f"""
+    listed AS (SELECT * FROM {SQL_FEATURES}),
+    held AS (SELECT doc_id, unnest(f) AS feature FROM listed),
+    weights AS (SELECT feature, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(DISTINCT doc_id))) + 1 AS weight FROM held GROUP BY feature),
+    weighed AS (
+      SELECT doc_id, count(*) * any_value(weight) AS w, CAST('0x' || substr(md5(feature), 1, 8) AS BIGINT) AS b0, CAST('0x' || substr(md5(feature), 9, 8) AS BIGINT) AS b1
+      FROM held JOIN weights USING (feature) GROUP BY doc_id, feature),
+    vectors AS (
+      SELECT doc_id, j, coalesce(sum(CASE WHEN ((CASE WHEN j < 32 THEN b0 ELSE b1 END) >> (j % 32)) & 1 = 1 THEN w ELSE -w END), 0) AS c
+      FROM listed LEFT JOIN weighed USING (doc_id), unnest(range({SM.DIM})) AS t(j) GROUP BY doc_id, j)"""
+
+
+@query("u3_embed_weighted", f"WITH {SQL_VECTORS} SELECT doc_id, j, round(c, 4) AS c FROM vectors")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    v = SM.embed_weighted(d, ["doc_id"], SM.learn_weights(d))
+    return v.select("doc_id", F.posexplode("vector").alias("j", "c")).select("doc_id", big("j").alias("j"), F.round("c", 4).alias("c"))
+
+
+@query(
+    "u7_evaluate_batch_semantic",
+    f"WITH {sql_scores(DOC_PAIRS, 'doc_id')}, {SQL_VECTORS}, "
+    "cosines AS (SELECT a.doc_id, coalesce(sum(a.c * b.c) / nullif(sqrt(sum(a.c * a.c)) * sqrt(sum(b.c * b.c)), 0), 0) AS s "
+    "FROM vectors a JOIN vectors b ON b.doc_id = a.doc_id + 1 AND b.j = a.j GROUP BY a.doc_id) "
+    "SELECT doc_id, round(s, 5) AS semantic_similarity, round(lexical_similarity, 6) AS lexical_similarity, "
+    "round(overall_score * 0.7 + 0.3 * s, 5) AS overall_score FROM scored JOIN cosines USING (doc_id)",
+)
+def _(spark, sf):
+    pairs = document_pairs(spark, sf)
+    weights = SM.learn_weights(table(spark, sf, "documents"))
+    near = SM.semantic_similarity(pairs, ["doc_id"], weights).withColumnRenamed("semantic_similarity", "_near")
+    scored = E.evaluate_batch(pairs.join(near, "doc_id", "left"), semantic=F.col("_near"), keys=["doc_id"])
+    return scored.select("doc_id", F.round("semantic_similarity", 5).alias("semantic_similarity"), r6("lexical_similarity").alias("lexical_similarity"), F.round("overall_score", 5).alias("overall_score"))

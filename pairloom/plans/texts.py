@@ -8,6 +8,7 @@ from pairloom import constants as C
 from pairloom.functions import requests as R
 from pairloom.functions import text as T
 from pairloom.operators import pairing, providers, summaries, validate
+from pairloom.operators.ordered import ranked
 from pairloom.operators.store import ResultsStore
 from pairloom.plans import jobs
 from pairloom.plans.common import PAIRS, big, conversation_pairs, query, quoted, r6, sql_strip, table
@@ -119,15 +120,27 @@ def with_result(d):
     )
 
 
-@query(
-    "k1_write_report_text",
-    "SELECT doc_id, 'Original: ' || text || chr(10) || 'Paraphrase: ' || "
-    f"coalesce(nullif({SQL_RESULT}, ''), 'FAILED') || chr(10) || repeat('-', 40) AS block FROM documents",
-)
+SQL_BLOCK = f"'Original: ' || text || chr(10) || 'Paraphrase: ' || coalesce(nullif({SQL_RESULT}, ''), 'FAILED') || chr(10) || repeat('-', 40)"
+
+
+@query("k1_write_report_text", f"SELECT doc_id, {SQL_BLOCK} AS block FROM documents")
 def _(spark, sf):
     return writers.report_rows(with_result(table(spark, sf, "documents"))).select("doc_id", "block")
 
 
+@query("k1_report_order", f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, {SQL_BLOCK} AS block FROM documents")
+def _(spark, sf):
+    """Blocks of the written report in the order of its files."""
+    path = scratch_dir(spark, "report")
+    writers.write_report_text(with_result(table(spark, sf, "documents")), path, order=("doc_id",))
+    rule = "-" * 40
+    whole = spark.read.option("lineSep", f"\n{rule}\n").text(path).select(
+        F.col("value"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"),
+    )
+    numbered = ranked(whole, [], ["file", "start", "at"], "place")
+    return numbered.select((F.col("place") - 1).alias("place"), F.concat("value", F.lit(f"\n{rule}")).alias("block"))
+
+
 @query(
     "k2_write_results",
     f"SELECT doc_id, text AS original, {SQL_RESULT} AS paraphrase, ({SQL_RESULT}) IS NOT NULL AS success FROM documents",
@@ -138,10 +151,12 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("k4_stream_sink", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("k4_stream_sink", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(spark, sf):
-    stream = read_stream(spark, f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
-    return run_to_table(stream, "sink")
+    # four files, each a micro-batch
+    path = scratch_dir(spark, "sink-in")
+    table(spark, sf, "documents").repartition(4, "doc_id").write.parquet(path)
+    return run_to_table(read_stream(spark, path, max_files=1), "sink").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 # --- validation ---------------------------------------------------------------
