@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import materialise
+from pairloom.operators.ordered import chunk_totals, with_carried
+
 SYSTEM = "system"
 # Turns that one row of the result holds at most; a longer dialogue goes on in the next part.
 PART_TURNS = 64
@@ -40,10 +43,17 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     said = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    # Numbering runs through a dialogue as a stream; nothing is gathered.
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")) - 1
-    numbered = said.withColumn("place", place).withColumn("part", F.floor(F.col("place") / part_turns).cast("bigint"))
-    viewers = said.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
+    # Turns are dealt in their order over all tasks, a long dialogue over many; each chunk counts its own turns and adds
+    # those of the dialogue's earlier chunks: one row a chunk, so it may be broadcast. Chunks are written once, as
+    # their borders come from a sample.
+    order = [F.asc_nulls_first("turn"), "role", "text"]
+    dealt = said.repartitionByRange("conv_id", *order).sortWithinPartitions("conv_id", *order)
+    chunks = materialise(dealt.withColumn("chunk", F.spark_partition_id()), "turns")
+    local = F.row_number().over(Window.partitionBy("chunk", "conv_id").orderBy(*order)) - 1
+    counted = with_carried(chunks.withColumn("local", local), chunk_totals(chunks, ["conv_id"], F.lit(1), "before"), ["conv_id"])
+    place = (F.col("local") + F.coalesce("before", F.lit(0))).cast("bigint")
+    numbered = counted.withColumn("place", place).withColumn("part", F.floor(F.col("place") / part_turns).cast("bigint"))
+    viewers = chunks.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
     # a part is gathered once, then written for every viewer
     parts = numbered.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "turn", "role", "text"))).alias("turns"))
     seen = parts.join(viewers, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
