@@ -18,8 +18,8 @@ from pairloom.llm.common import share, slices
 UNKNOWN = "und"
 # The sample that dictionaries are made from: so many texts a language, so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARACTERS = 200, 1_000
-# Languages with the most texts that are learned; a table names far fewer.
-MAX_LANGUAGES = 64
+# Texts of all languages together: above 64 languages each has fewer, so that what is broadcast stays below 13 MB.
+ALL_TEXTS = 64 * SAMPLE_TEXTS
 # Bytes of a text that are compressed at a time: longer stretches would become their own dictionary.
 STRETCH = 2_048
 LEVEL = 3
@@ -44,18 +44,21 @@ def plain(text: str) -> bytes:
 def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> dict[str, list[str]]:
     """Up to ``texts`` texts of every language, chosen by a hash of the text alone, whatever the table's order or size.
 
-    First the rows of each language are counted; then rows pass whose hash lies below four times the share
-    wanted, and of these the smallest hashes are taken. The driver receives at most ``MAX_LANGUAGES * texts``
-    beginnings of texts.
+    First the distinct texts of each language are counted, about, so that copies do not crowd a language out; then rows pass
+    whose hash lies below four times the share wanted, and of these the smallest hashes are taken. No language is left out: the
+    more there are, the fewer texts each has, ``ALL_TEXTS`` at most together. More languages than that raise.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    h = F.xxhash64("text")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).orderBy(F.desc("n"), "lang").limit(ALL_TEXTS + 1).collect()
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * texts / r["count"]))])
-    h = F.xxhash64("text")
+    if len(counts) > ALL_TEXTS:
+        raise ValueError(f"more than {ALL_TEXTS} languages")
+    texts = min(texts, ALL_TEXTS // len(counts))
+    wanted = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * texts / max(r["n"], 1))) for r in counts], "lang string, share double")
     some = (
-        rows.where(F.pmod(h, F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
+        rows.join(F.broadcast(wanted), "lang").where(F.pmod(h, F.lit(1 << 40)) < F.col("share") * float(1 << 40))
         .select("lang", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"), h.alias("h")).distinct()
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= texts)
     )

@@ -140,12 +140,12 @@ def test_bpe_of_odd_tables(spark, coder, library):
 # --- n-gram Jaccard join ---
 
 
-def jaccard_by_hand(rows):
+def jaccard_by_hand(rows, k=4, percent=85):
     sets = []
     for i, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
-        sets.append((i, {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if w else set()))
-    links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if s and t and 100 * len(s & t) >= 85 * len(s | t)]
+        sets.append((i, {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()))
+    links = [(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if s and t and 100 * len(s & t) >= percent * len(s | t)]
     classes = union_find([i for i, _ in sets], links)
     return sorted((i, len(s), classes[i]) for i, s in sets)
 
@@ -191,6 +191,20 @@ def test_jaccard_of_odd_tables(spark):
 # --- language ---
 
 
+def test_every_language_is_learned_and_copies_crowd_none_out(spark, monkeypatch):
+    words = "ab cd ef gh ij kl mn op qr st uv wx".split()
+    rows = [(f"l{n:03d}", " ".join(words[(n * 7 + i * (n % 5 + 1)) % 12] + str(n) for i in range(12)) + f" nr {c}") for n in range(150) for c in range(3)]
+    rows += [("copies", "the same line of text over and over")] * 3000 + [("copies", f"word{i} and more words {i}") for i in range(60)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    found = language.sample(labelled)
+    assert len(found) == 151 and len(found["copies"]) == 61 and all(len(found[f"l{n:03d}"]) == 3 for n in range(150))
+    monkeypatch.setattr(language, "ALL_TEXTS", 302)
+    assert {len(t) for t in language.sample(labelled).values()} == {2}
+    monkeypatch.setattr(language, "ALL_TEXTS", 100)
+    with pytest.raises(ValueError, match="languages"):
+        language.sample(labelled)
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", language.held_out("doc_id").alias("held_out"))
     model = language.learn(d.where(~F.col("held_out")))

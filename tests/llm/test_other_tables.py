@@ -258,7 +258,7 @@ def test_pipeline_by_stages(spark):
     from test_documents import jaccard_by_hand, windows_by_hand
 
     assert len(kept["language"]) >= 0.97 * len(texts)
-    classes = jaccard_by_hand([(i, texts[i]) for i in kept["language"]])
+    classes = jaccard_by_hand([(i, texts[i]) for i in kept["language"]], k=5, percent=80)
     assert kept["near duplicates"] == {i for i, _, c in classes if i == c}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     short = [i for i in kept["near duplicates"] if len(texts[i]) < 1500]
