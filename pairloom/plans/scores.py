@@ -9,6 +9,7 @@ from pairloom.functions import requests as R
 from pairloom.functions import similarity as S
 from pairloom.functions import text as T
 from pairloom.operators import evaluate as E
+from pairloom.operators import lemmas as LM
 from pairloom.operators import semantic as SM
 from pairloom.operators import sentences as SN
 from pairloom.operators import subwords as SW
@@ -95,6 +96,35 @@ def _(spark, sf):
     )
 
 
+# Half of the documents' words, by their md5, are the table; its lemmas lose an s, or put an e for en.
+SQL_LEMMA = "CASE WHEN token LIKE '%s' THEN left(token, length(token) - 1) WHEN token LIKE '%en' THEN left(token, length(token) - 1) ELSE token END"
+
+
+@query(
+    "f06_lemmatize_by_rule",
+    f"""
+    WITH tok AS (SELECT DISTINCT unnest({sql_norm('text')}) AS token FROM documents),
+    halves AS (SELECT token, length(token) AS size, substr(md5(token), 1, 1) < '8' AS given FROM tok WHERE length(token) > 1),
+    lemmas AS (SELECT token, size, {SQL_LEMMA} AS lemma FROM halves WHERE given),
+    edits AS (SELECT token, size, size - length(lemma) AS cut, '' AS add FROM lemmas),
+    counts AS (
+      SELECT right(token, n) AS suffix, cut, add, count(*) AS n_tokens FROM edits, unnest(range(1, 7)) AS t(n)
+      WHERE n <= size AND n >= cut GROUP BY ALL HAVING count(*) >= 2),
+    rules AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n_tokens DESC, cut, add) = 1),
+    hits AS (
+      SELECT token, left(token, size - cut) || add AS lemma FROM (SELECT token, size, n FROM halves, unnest(range(1, 7)) AS t(n) WHERE NOT given AND n <= size) h
+      JOIN rules ON suffix = right(token, n) WHERE size > cut OR add <> '' QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC) = 1)
+    SELECT token, coalesce(l.lemma, h.lemma, token) AS lemma, given AS known FROM halves LEFT JOIN lemmas l USING (token) LEFT JOIN hits h USING (token)
+    """,
+)
+def _(spark, sf):
+    tokens = table(spark, sf, "documents").select(F.explode(T.normalize_text(F.col("text"))).alias("token")).distinct().where(F.length("token") > 1)
+    given = tokens.where(F.substring(F.md5("token"), 1, 1) < "8")
+    short = F.expr("left(token, length(token) - 1)")
+    lemmas = given.withColumn("lemma", F.when(F.endswith("token", F.lit("s")) | F.endswith("token", F.lit("en")), short).otherwise(F.col("token")))
+    return LM.lemmatize(tokens, lemmas, LM.learn_rules(lemmas))
+
+
 @query(
     "f07_normalize_text",
     f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, {sql_digest('t')} AS tokens_md5, {sql_digest('b')} AS basic_md5 FROM "
