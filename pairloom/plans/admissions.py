@@ -185,33 +185,34 @@ def event_stream(spark, sf):
     return read_stream(spark, f"{sf}/events.parquet")
 
 
-def events_by_week(spark, sf):
-    """The events as files in the order of time, one a week, so that limiters carry their state over micro-batches."""
-    path = scratch_dir(spark, "weeks")
+def events_in_parts(spark, sf):
+    """The events as three files in the order of time, a micro-batch each, so that limiters carry their state over."""
+    path = scratch_dir(spark, "parts")
     e = table(spark, sf, "events")
-    week = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (7 * 86_400_000_000))
-    span = e.agg(F.min(week).alias("first"), F.max(week).alias("last")).first()
-    for n in range(span["first"] or 0, (span["last"] or 0) + 1):
-        e.where(week == n).coalesce(1).write.mode("append").parquet(path)
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = e.agg(F.min(t).alias("first"), F.max(t).alias("last")).first()
+    width = ((span["last"] or 0) - (span["first"] or 0)) // 3 + 1
+    for n in range(3):
+        e.where(F.floor((t - (span["first"] or 0)) / width) == n).coalesce(1).write.mode("append").parquet(path)
     return read_stream(spark, path, max_files=1)
 
 
 @query("t2_stream_token_bucket", W5.replace("AS retry_after FROM f", "AS retry_after, false AS late FROM f"))
 def _(spark, sf):
-    out = run_to_table(SA.stream_token_bucket(events_by_week(spark, sf), "event_type", "ts", "event_id", 3, 0.0005), "t2")
+    out = run_to_table(SA.stream_token_bucket(events_in_parts(spark, sf), "event_type", "ts", "event_id", 3, 0.0005), "t2")
     return out.withColumn("retry_after", r6("retry_after"))
 
 
 @query("t3_stream_sliding_admit", W4.replace("AS retry_after FROM f", "AS retry_after, false AS late FROM f"))
 def _(spark, sf):
     return run_to_table(
-        SA.stream_sliding_admit(events_by_week(spark, sf), "event_type", "ts", "event_id", 9, 6 * 3600), "t3"
+        SA.stream_sliding_admit(events_in_parts(spark, sf), "event_type", "ts", "event_id", 9, 6 * 3600), "t3"
     )
 
 
 @query("t5_stream_dedupe_ttl", C5.replace("hit FROM f", "hit, false AS late FROM f"))
 def _(spark, sf):
-    stream = events_by_week(spark, sf).withColumn("k", F.get_json_object("props", "$.k"))
+    stream = events_in_parts(spark, sf).withColumn("k", F.get_json_object("props", "$.k"))
     return run_to_table(SA.stream_dedupe_ttl(stream, "k", "ts", "event_id", TTL), "t5")
 
 
