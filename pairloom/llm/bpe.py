@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import share, slices
 
 # Words whose encoding a worker remembers between slices, and pairs of tokens it has judged.
-WORD_MEMO, PAIR_MEMO = 300_000, 200_000
+WORD_MEMO, PAIR_MEMO = 200_000, 200_000
+# Bytes of text whose words are in a worker's memory at once.
+SLICE = 2 << 20
 END = float("inf")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -308,7 +310,7 @@ def _pass(spark: SparkSession, coder: WordBpe, docs: DataFrame, column: str, kee
     types = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
     def run(batches):
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, SLICE):
             columns = {n: batch.column(n) for n in batch.schema.names}
             made = make(held(), columns[column].to_pylist())
             for (name, kind), values in zip(added.items(), made, strict=True):

@@ -44,11 +44,11 @@ def share(spark: SparkSession, thing: object) -> Callable[[], object]:
     return get
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE_BYTES`` of text; a longer single row stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text; a longer single row stands alone."""
     for batch in batches:
         rows = batch.num_rows
-        share = batch.column(column).nbytes // SLICE_BYTES + 1
+        share = batch.column(column).nbytes // size + 1
         step = max(1, rows // share)
         for start in range(0, rows, step):
             yield batch.slice(start, step)
