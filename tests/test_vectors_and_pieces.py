@@ -125,3 +125,15 @@ def test_a_row_per_pair_and_a_mask_per_id(spark, corpus, subwords):
     if not subwords:
         few = K.tokenize_pairs(corpus.where("id = 0"), ["id"], vocab=K.vocabulary(corpus.where("id = 1"))).first()
         assert len(few.input_ids) == 21  # the prefix and twenty words, those that the vocabulary lacks as 0
+
+
+def test_vectors_weighted_by_their_own_corpus(spark, monkeypatch):
+    monkeypatch.setattr(SM, "GROUP_BYTES", 16)  # several groups
+    rows = [*enumerate(TEXTS), (0, "one more text of that key"), (None, TEXTS[0]), (None, None), (90, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = sorted((r.id is None, r.id or 0, r.vector) for r in SM.embed_corpus(df, ["id"]).collect())
+    want = sorted((r.id is None, r.id or 0, r.vector) for r in SM.embed_weighted(df, ["id"], SM.learn_weights(df)).collect())
+    assert len(got) == len(rows) and [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[2] == pytest.approx(w[2])
+    assert SM.embed_corpus(df.limit(0), ["id"]).count() == 0
