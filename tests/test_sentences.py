@@ -84,3 +84,13 @@ def test_a_large_model_stays_a_table(spark, model, monkeypatch):
     monkeypatch.setattr(SN, "MOST_TYPES", 2)
     with pytest.raises(ValueError, match="count_sentences"):
         SN.counter(model)
+
+
+def test_counted_in_the_row_with_a_table_of_any_size(spark, monkeypatch):
+    texts = [*GOLDEN, "(Mr. Hill came.) He saw «Dr. Ash!» We left... Then 3. May. Who?"]
+    df = spark.createDataFrame([*enumerate(t if isinstance(t, str) else t[0] for t in texts), (900, None), (901, "")], "id int, text string")
+    model = spark.createDataFrame([("abbreviation", t) for t in ("mr", "dr", "ash")] + [("starter", t) for t in ("he", "we", "then")], "kind string, type string")
+    want = {r.id: r.n for r in df.select("id", SN.counter(model)(F.col("text")).alias("n")).collect()}
+    monkeypatch.setattr(SN, "MOST_TYPES", 2)
+    got = {r.id: r.sentences for r in SN.count_in_row(df, model, ["id"]).collect()}
+    assert got == want and len(got) == df.count()
