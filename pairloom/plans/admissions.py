@@ -265,14 +265,12 @@ SQL_REWRITES = (
 
 
 def intake(spark, sf):
-    """The documents as files that a stream reads one after the other."""
+    """The documents in four parts that arrive one after the other: a folder and, for each part, what puts its files there."""
     path = scratch_dir(spark, "intake")
     d = table(spark, sf, "documents")
     body = F.when(F.col("doc_id") % 11 == 3, F.lit(None)).when(F.col("doc_id") % 13 == 5, F.lit("  ")).otherwise(F.col("text"))
     rows = d.select("doc_id", body.alias("text"), (F.floor(F.col("doc_id") / 7) % 4).alias("part"))
-    for part in range(4):
-        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return read_stream(spark, path, max_files=1)
+    return path, [lambda n=n: rows.where(F.col("part") == n).drop("part").write.mode("append").parquet(path) for n in range(4)]
 
 
 @query(
@@ -285,9 +283,13 @@ def intake(spark, sf):
 )
 def _(spark, sf):
     path = scratch_dir(spark, "t1")
-    texts = intake(spark, sf)
+    folder, parts = intake(spark, sf)
     now = lambda: F.lit("2024-01-20 00:00:00").cast("timestamp")
     kept = ResultsStore(spark, f"{path}/memo")
     cores = spark.sparkContext.defaultParallelism
-    SS.start_rewrite_and_score(texts, kept, path, now, parallel=cores).awaitTermination()
+    for arrives in parts:
+        # all files that came since the last run are one micro-batch, read by as many tasks as they are large
+        arrives()
+        texts = read_stream(spark, folder)
+        SS.start_rewrite_and_score(texts, kept, path, now, parallel=cores).awaitTermination()
     return SS.scored_rows(texts, path).select("doc_id", "result", *[r6(m).alias(m) for m in METRICS], "violation", "cached")
