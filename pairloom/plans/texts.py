@@ -12,7 +12,7 @@ from pairloom.operators.ordered import ranked
 from pairloom.operators.store import ResultsStore
 from pairloom.plans import jobs
 from pairloom.plans.common import PAIRS, big, conversation_pairs, query, quoted, r6, sql_strip, table
-from pairloom.session import scratch_dir
+from pairloom.session import scratch_dir, text_parts
 from pairloom.sources import readers, writers
 from pairloom.streaming.files import read_stream, run_to_table
 
@@ -153,10 +153,12 @@ def _(spark, sf):
 
 @query("k4_stream_sink", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(spark, sf):
-    # four files, each a micro-batch
+    # files of a bounded size, a quarter of them in each micro-batch
     path = scratch_dir(spark, "sink-in")
-    table(spark, sf, "documents").repartition(4, "doc_id").write.parquet(path)
-    return run_to_table(read_stream(spark, path, max_files=1), "sink").select("doc_id", "text", "lang", "source", "n_chars")
+    d = table(spark, sf, "documents")
+    d.repartition(text_parts(d, "text"), "doc_id").write.parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return run_to_table(read_stream(spark, path, max_files=-(-files // 4)), "sink").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 # --- validation ---------------------------------------------------------------
