@@ -21,9 +21,10 @@ from pairloom.functions.requests import (
 from pairloom.operators.lookup import lookup
 from pairloom.operators.providers import resolve_model
 from pairloom.operators.store import ResultsStore, live, new_entries
-from pairloom.session import scratch_dir
+from pairloom.session import scratch_dir, text_parts
 
 CALL_COLUMNS = "result string, attempts int, error string, seconds double"
+SLICE_CHARS = 2 << 20  # of texts whose replies are handed on together
 CALL_NAMES = ["result", "attempts", "error", "seconds"]
 
 
@@ -79,6 +80,20 @@ def call_list(fn: Callable, texts: list[str | None], rest: tuple = (), max_retri
     return out
 
 
+def some_at_once(batches: Iterator[pd.Series], step: int) -> Iterator[list[str | None]]:
+    """The texts in lists of whole steps with about ``SLICE_CHARS`` characters, so that replies are held for a bounded size of texts."""
+    for some in batches:
+        texts = some.tolist()
+        begin = size = 0
+        for i in range(0, len(texts), step):
+            size += sum(len(t) for t in texts[i : i + step] if t is not None)
+            if size >= SLICE_CHARS:
+                yield texts[begin : i + step]
+                begin, size = i + step, 0
+        if begin < len(texts):
+            yield texts[begin:]
+
+
 def called(rows: DataFrame, calls: Callable, *inputs: Column) -> DataFrame:
     """``rows`` with the columns of ``calls``, a function over batches of the inputs; only these go through Python.
 
@@ -106,8 +121,7 @@ def generate(
     """
     def calls(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         call = setup() if setup is not None else fn
-        for some in batches:
-            texts = some.tolist()
+        for texts in some_at_once(batches, batch or 1):
             if batch is None:
                 made = [call_with_retries(call, (t,), max_retries, retry_delay) for t in texts]
             else:
@@ -250,6 +264,9 @@ def retry_pass(
     """
     spark = df.sparkSession
     base = scratch_dir(spark, "retry")
+    # joined in partitions of a bounded size: texts and results meet in one task
+    parts = text_parts(df, text)
+    dealt = df.repartition(parts, key)
     open_rows, done = df, []
     for attempt in range(max_retries + 1):
         path = f"{base}/pass={attempt}"
@@ -261,7 +278,7 @@ def retry_pass(
         done.append(written if last else written.where(~failed))
         if last or written.where(failed).isEmpty():
             break
-        open_rows = df.join(written.where(failed).select(key), key, "left_semi")
+        open_rows = dealt.join(written.where(failed).select(key).repartition(parts, key), key, "left_semi")
     results = done[0]
     for more in done[1:]:
         results = results.unionByName(more)
@@ -269,7 +286,7 @@ def retry_pass(
     results = results.select(
         key, "result", "status", "error", (F.col("attempt") + 1).alias("attempts"), waited.alias("wait")
     )
-    return df.join(results, key)
+    return dealt.join(results.repartition(parts, key), key)
 
 
 def with_observation(df: DataFrame, fn: Callable = offline_reply, text: str = "text", **calls) -> tuple[DataFrame, Observation]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,27 @@ def test_stream_of_nothing(spark, tmp_path):
     empty.write.parquet(str(tmp_path / "in"))
     stream = read_stream(spark, str(tmp_path / "in"))
     assert SS.scored_rows(stream, str(tmp_path / "out")).count() == 0
+
+
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    from pairloom import session
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(50, None)], "id int, text string")
+    assert session.text_parts(df, "text") == n and session.text_parts(df.limit(0), "text") == n
+    monkeypatch.setattr(session, "PART_BYTES", 100)
+    assert session.text_parts(df, "text") == max(n, 51)
+    done = G.retry_pass(df, lambda t: t, "id", max_retries=0)
+    assert done.count() == 51 and done.rdd.getNumPartitions() >= min(51, max(n, 51))
+
+
+def test_replies_are_handed_on_by_size_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(G, "SLICE_CHARS", 10)
+    texts = ["abcd", None, "x" * 30, "", "ab", "c" * 9, "d"]
+    assert [len(x) for x in G.some_at_once(iter([pd.Series(texts), pd.Series([], dtype=object)]), 1)] == [3, 3, 1]
+    assert [len(x) for x in G.some_at_once(iter([pd.Series(texts)]), 2)] == [4, 2, 1]
+    df = spark.createDataFrame([*enumerate(texts)], "id int, text string").coalesce(1)
+    for batch in (None, 2):
+        fn = (lambda t: t.upper()) if batch is None else (lambda some: [t.upper() for t in some])
+        got = {r.id: r.result for r in G.generate(df, fn, batch=batch).collect()}
+        assert got == {i: None if t is None else t.upper() for i, t in enumerate(texts)}
