@@ -208,3 +208,21 @@ def test_replies_are_handed_on_by_size_of_the_texts(spark, monkeypatch):
         fn = (lambda t: t.upper()) if batch is None else (lambda some: [t.upper() for t in some])
         got = {r.id: r.result for r in G.generate(df, fn, batch=batch).collect()}
         assert got == {i: None if t is None else t.upper() for i, t in enumerate(texts)}
+
+
+def test_streamed_documents_come_in_many_files(spark, tmp_path, monkeypatch):
+    from pairloom import session
+    from pairloom.plans import admissions, texts
+    from pairloom.plans.catalog import QUERIES
+
+    sf = str(tmp_path / "sf")
+    rows = [(i, f"text {i} " * 20, "en", "web", 7) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4).write.parquet(f"{sf}/documents.parquet")
+    folder, parts = admissions.intake(spark, sf)
+    parts[0]()
+    assert len(spark.read.parquet(folder).inputFiles()) > 1 and len(parts) == 4
+    seen, read = [], texts.read_stream
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 10)
+    monkeypatch.setattr(texts, "read_stream", lambda spark, path, max_files: seen.append(max_files) or read(spark, path, max_files))
+    assert QUERIES["k4_stream_sink"](spark, sf).count() == 200
+    assert seen[0] > 1
