@@ -4,7 +4,8 @@ On unit vectors a cosine is a distance: |u - v|^2 = 2 - 2 cos. Each label's vect
 bounded size, neighbours together; pairs of blocks whose covering balls lie too far apart are left out. A task
 compares two blocks: each gets a cover tree, whose nodes at each level cover their points within half the
 radius of the level above, and the two trees are walked together. A pair of nodes is dropped when its balls
-cannot hold a close pair, and taken whole when they cannot hold any other; the rest goes down to single vectors.
+cannot hold a close pair, and taken whole when they cannot hold any other; the rest goes down to nodes whose vectors
+are few, or do not gather in smaller balls, and these are compared vector by vector.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ COSINE = 0.98
 BLOCK = 1_024
 # Vectors below which a node is not split.
 LEAF = 24
+# Vectors that a node's balls must hold on average: where they hold fewer, comparing balls costs more than comparing the vectors in one product.
+GATHER = 16
 # Slack of distance bounds against rounding; decisions between single vectors are made on cosines.
 SLACK = 1e-6
 
@@ -39,14 +42,16 @@ class Node:
         if len(points) > LEAF and self.radius > SLACK:
             while reach >= self.radius:
                 reach /= 2
-            left, dist = points, d
-            while len(left):
+            left, dist, inside = points, d, []
+            while len(left) and len(inside) * GATHER <= len(points):
                 # the farthest uncovered point becomes the centre of a child and takes what lies within reach
                 c = x[left[dist.argmax()]]
                 near = np.sqrt(np.maximum(0, 2 - 2 * (x[left] @ c))) <= reach
                 near[dist.argmax()] = True
-                self.children.append(Node(x, left[near], c, reach))
+                inside.append((left[near], c))
                 left, dist = left[~near], dist[~near]
+            if not len(left):
+                self.children = [Node(x, held, c, reach) for held, c in inside]
 
 
 def tree(x: np.ndarray) -> Node:

@@ -164,6 +164,16 @@ def test_close_pairs_takes_whole_nodes():
     assert any(not paired for *_, paired in cover_tree.close_pairs(x, None, 0.98))
 
 
+def test_vectors_that_do_not_gather_are_compared_in_one_product():
+    rng = np.random.default_rng(4)
+    apart, near = rng.standard_normal((600, 64)), rng.standard_normal((3, 64)).repeat(200, 0) + 0.01 * rng.standard_normal((600, 64))
+    for x, balls in ((apart, 0), (near, 3)):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        assert len(cover_tree.tree(x).children) == balls
+        counts, _ = cover_tree.linked(x, None, np.ones(600, int), None, 0.98)
+        assert counts.tolist() == ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist()
+
+
 # --- dialogues ---
 
 
