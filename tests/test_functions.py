@@ -158,3 +158,14 @@ def test_sentences_of_blanks_and_terminators(spark):
     cases = {"Hello. World. ": 2, "One line.\n": 1, "...": 0, "3.14": 2, " \n": 0, "": 0, "a": 1, "A!  B?\t": 2, "no end": 1}
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", T.sentence_count(F.col("t")).alias("n"))
     assert {r.t: r.n for r in rows.collect()} == cases
+
+
+def test_texts_of_a_pair_are_counted_without_a_step_per_word(spark):
+    """In the row as in rows, on letters, digits and gaps beyond ASCII too; no lambda runs over the words."""
+    texts = ["", "  ", None, "ΟΔΟΣ'Α ΟΔΟΣ İstanbul. İs", "a b c «d» é été ÉTÉ", "x² ½ Ⅷ ٣ 🙂 a🙂", "one\x00 two\x1fthree!? . 　! four", "don't the THE can't"]
+    rows = [(i * len(texts) + j, o, p) for i, o in enumerate(texts) for j, p in enumerate(texts)]
+    pairs = spark.createDataFrame(rows, "k int, original string, paraphrase string")
+    for mode, contractions in (("full", False), ("basic", False), ("full", True)):
+        inside = E.evaluate_batch(pairs, mode=mode, contractions=contractions)
+        assert inside.orderBy("k").collect() == E.evaluate_batch(pairs, keys=["k"], mode=mode, contractions=contractions).select(*inside.columns).orderBy("k").collect()
+    assert "lambda" not in E.evaluate_batch(pairs)._jdf.queryExecution().optimizedPlan().toString()
