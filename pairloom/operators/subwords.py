@@ -49,38 +49,40 @@ def logs(counts: dict[str, float]) -> dict[str, float]:
     return {p: math.log(n / total) for p, n in counts.items() if n > 0}
 
 
-def _added(a: float, b: float) -> float:
-    """log(exp(a) + exp(b))"""
-    if a < b:
-        a, b = b, a
-    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
-
-
 class Pieces:
     """Log probabilities of pieces; segments words and says how much each piece is used."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_COST
 
-    def ending(self, word: str, end: int) -> Iterator[tuple[int, float]]:
-        """(begin, log probability) of each piece that ends there; a character that is none is unknown."""
-        for begin in range(max(0, end - self.longest), end):
-            score = self.scores.get(word[begin:end])
-            if score is not None:
-                yield begin, score
-            elif begin == end - 1:
-                yield begin, self.unknown
+        self.longest = max(map(len, scores), default=1)
+        # pieces as paths of characters: a search from a place ends where no piece goes on
+        self.paths: dict = {}
+        for piece, score in scores.items():
+            node = self.paths
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = score
 
     def best(self, word: str) -> list[str]:
         """The most probable segmentation; of equal ones that whose last piece is longest, and so on backwards."""
-        score, came = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for begin, s in self.ending(word, end):
-                if score[begin] + s > score[end]:
-                    score[end], came[end] = score[begin] + s, begin
-        out, end = [], len(word)
+        size, none = len(word), -math.inf
+        score, came = [0.0] + [none] * size, [0] * (size + 1)
+        for begin in range(size):
+            node, end, held = self.paths, begin, score[begin]
+            for c in word[begin : begin + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                s = node.get("")
+                if s is not None and held + s > score[end]:
+                    score[end], came[end] = held + s, begin
+            c = self.paths.get(word[begin])
+            if (c is None or "" not in c) and held + self.unknown > score[begin + 1]:
+                score[begin + 1], came[begin + 1] = held + self.unknown, begin
+        out, end = [], size
         while end:
             out.append(word[came[end] : end])
             end = came[end]
@@ -88,20 +90,43 @@ class Pieces:
 
     def use(self, word: str) -> tuple[dict[str, float], float]:
         """Expected number of times each piece is used in a word, and the word's log probability."""
-        size = len(word)
-        ahead = [0.0] + [-math.inf] * size
-        for end in range(1, size + 1):
-            for begin, s in self.ending(word, end):
-                ahead[end] = _added(ahead[end], ahead[begin] + s)
-        back = [-math.inf] * size + [0.0]
+        size, none, exp, log1p = len(word), -math.inf, math.exp, math.log1p
+        ahead = [0.0] + [none] * size
+        # (begin, log probability) of each piece by its end, begins ascending; a character that is none is unknown
+        ending: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
+        for begin in range(size):
+            node, end, held = self.paths, begin, ahead[begin]
+            found = []
+            for c in word[begin : begin + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                s = node.get("")
+                if s is not None:
+                    found.append((end, s))
+            if not found or found[0][0] != begin + 1:
+                found.insert(0, (begin + 1, self.unknown))
+            for end, s in found:
+                ending[end].append((begin, s))
+                # log(exp(a) + exp(b))
+                a, b = ahead[end], held + s
+                if a < b:
+                    a, b = b, a
+                ahead[end] = a + log1p(exp(b - a)) if b > none else a
+        whole = ahead[size]
+        back = [none] * size + [0.0]
         expected: dict[str, float] = {}
         for end in range(size, 0, -1):
-            for begin, s in self.ending(word, end):
-                back[begin] = _added(back[begin], back[end] + s)
-                share = math.exp(ahead[begin] + s + back[end] - ahead[size])
+            rest = back[end]
+            for begin, s in ending[end]:
+                a, b = back[begin], rest + s
+                if a < b:
+                    a, b = b, a
+                back[begin] = a + log1p(exp(b - a)) if b > none else a
                 piece = word[begin:end]
-                expected[piece] = expected.get(piece, 0.0) + share
-        return expected, ahead[size]
+                expected[piece] = expected.get(piece, 0.0) + exp(ahead[begin] + s + rest - whole)
+        return expected, whole
 
 
 def _round(words: DataFrame, scores: dict[str, float]) -> tuple[dict[str, float], float]:
@@ -174,7 +199,7 @@ def tokenizer(model: list[tuple[str, float]], memo: int = 200_000) -> Callable[[
 
 def words_of(text: str | None) -> list[str]:
     """The tokens that ``functions.text.tokenize`` makes, in Python."""
-    return text.translate(_DROPPED).lower().split() if text else []
+    return text.encode().translate(None, _DROPPED).decode().lower().split() if text else []
 
 
-_DROPPED = str.maketrans("", "", C.ASCII_PUNCTUATION)
+_DROPPED = C.ASCII_PUNCTUATION.encode()

@@ -70,13 +70,10 @@ def tokenize_pairs(
             encode = tokenizer()
             for pdf in batches:
                 source = encode([None if t is None else prefix + t for t in pdf.text1], max_source)
-                yield pdf[keys].assign(
-                    input_ids=source, attention_mask=[[1] * len(ids) for ids in source], labels=encode(pdf.text2.tolist(), max_target),
-                )
+                yield pdf[keys].assign(input_ids=source, labels=encode(pdf.text2.tolist(), max_target))
 
-        return pairs.select(*keys, "text1", "text2").mapInPandas(
-            run, schema + ", input_ids array<int>, attention_mask array<int>, labels array<int>"
-        )
+        coded = pairs.select(*keys, "text1", "text2").mapInPandas(run, schema + ", input_ids array<int>, labels array<int>")
+        return coded.select(*keys, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), "labels")
 
     vocab = vocabulary(pairs, prefix=prefix) if vocab is None else vocab
     vocab = vocab.select("token", "token_id")

@@ -137,3 +137,22 @@ def test_vectors_weighted_by_their_own_corpus(spark, monkeypatch):
     for g, w in zip(got, want, strict=True):
         assert g[2] == pytest.approx(w[2])
     assert SM.embed_corpus(df.limit(0), ["id"]).count() == 0
+
+
+def test_pieces_are_sought_only_as_far_as_one_goes_on():
+    """The steps of a segmentation grow with the pieces that begin at a place, not with the longest piece."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    pieces = SW.Pieces({"a": -1.0, "b": -1.5, "ab": -1.2, "z" * 40: -3.0})
+    pieces.paths = Counted({c: Counted(node) for c, node in pieces.paths.items()})
+    assert pieces.best("ab" * 20) == ["ab"] * 20 and Counted.asked < 40 * 8
+    expected, whole = pieces.use("ab")
+    assert whole == pytest.approx(math.log(math.exp(-2.5) + math.exp(-1.2)))
+    assert expected == pytest.approx({"ab": math.exp(-1.2 - whole), "a": math.exp(-2.5 - whole), "b": math.exp(-2.5 - whole)})
+    assert pieces.best("aéb") == ["a", "é", "b"] and SW.Pieces({}).best("é") == ["é"]
+    assert SW.words_of("Don't ÉTÉ\u2003«a» x_y") == ["dont", "été", "«a»", "xy"]
