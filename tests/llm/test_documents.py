@@ -327,6 +327,32 @@ def test_chain_prefers_order_over_number():
     assert passages.chains(x, [v + 7 for v in x]) == [(0, 100, 7, 107)]
 
 
+def test_equal_words_are_walked_in_lists_not_one_by_one():
+    class Text(list):
+        asked = 0
+
+        def __getitem__(self, at):
+            Text.asked += 1
+            return Text(super().__getitem__(at)) if isinstance(at, slice) else super().__getitem__(at)
+
+    text = [b"%d" % i for i in range(5_000)]
+    other = text[:3_000] + [b"x", b"y"] + text[3_001:]
+    assert passages.walk(Text(text), Text(other)) == (5_000, 5_001, 4_999, 5_001) and Text.asked < 200
+    assert passages.agreement(text, other, 2_990, 2_990) == 10 and passages.agreement(text, text[:7], 0, 0) == 7 == passages.agreement(text[:7], text, 0, 0)
+
+
+def test_stretches_inside_others_are_found_in_order():
+    rng = random.Random(8)
+    kept, plain = passages.Covered(), []
+    for _ in range(400):
+        a = rng.randrange(300)
+        b = a + rng.randrange(1, 40)
+        assert kept.holds(a, b) == any(s <= a and b <= e for s, e in plain)
+        if rng.random() < 0.3:
+            kept.add(a, b)
+            plain.append((a, b))
+
+
 # --- shards ---
 
 
