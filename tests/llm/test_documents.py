@@ -353,6 +353,16 @@ def test_stretches_inside_others_are_found_in_order():
             plain.append((a, b))
 
 
+def test_word_hashes_remember_no_words():
+    import xxhash
+
+    hashes = passages.WordHashes()
+    words = [b"%d" % i for i in range(20_000)]
+    before = len(vars(hashes))
+    assert passages.hashed(words, hashes).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words] and not passages.hashed([], hashes).size
+    assert len(vars(hashes)) == before and not isinstance(hashes, dict)
+
+
 # --- shards ---
 
 
