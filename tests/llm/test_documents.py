@@ -294,6 +294,26 @@ def test_passages_whose_halves_stand_in_lower_and_higher_documents(spark):
     assert set(spans) == {i for _, *ids in passages_of for i in ids}
 
 
+@pytest.mark.parametrize("first", [0, -(2**63)])
+def test_passages_with_changes_between_documents_that_are_not_the_first_or_last(spark, first):
+    """Every stretch that both documents have stands in a lower and in a higher document as well, each in others."""
+    rnd = random.Random(12)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts, both = [new(20) for _ in range(100)], []
+    for n in range(10):
+        passage = new(156)
+        both.append({40 + 2 * n, 41 + 2 * n})
+        for i in both[-1]:
+            texts[i] += [f"change{i}x{k}" if k % 12 == 11 else w for k, w in enumerate(passage)] + new(20)
+        for k in range(13):
+            for i in ((n * 13 + k) % 40, 60 + (n * 13 + k) % 40):
+                texts[i] += passage[12 * k : 12 * k + 11] + new(40)
+    rows = [(i if i else first, " ".join(t)) for i, t in enumerate(texts)]
+    found = passages.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(i, j) for ids in both for i in ids for j in ids - {i}}
+    assert all(r.n_words >= 130 and r.identity >= 0.9 for r in found)
+
+
 @pytest.mark.parametrize("period", [1, 2, 3, 5, 7, 11, 12, 13])
 def test_seeds_of_a_repeated_line_leave_no_window_without(period):
     text = [b"a%d" % i for i in range(40)] + [b"w%d" % (i % period) for i in range(200)] + [b"b%d" % i for i in range(40)]
