@@ -188,6 +188,18 @@ def test_jaccard_of_odd_tables(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "None", "None"]
 
 
+def test_jaccard_what_is_read_again_grows_with_the_groups_alone(spark, monkeypatch):
+    """However many groups there are, no bounded marks let other first shingles pass, and those of whole sets grow with their number."""
+    monkeypatch.setattr(jaccard, "MARKS", 64)
+    plans, sizes, write, count = {}, [], jaccard.materialise, jaccard.dense_counts
+    monkeypatch.setattr(jaccard, "materialise", lambda df, label: (plans.update({label: df._jdf.queryExecution().toString()}), write(df, label))[1])
+    monkeypatch.setattr(jaccard, "dense_counts", lambda df, buckets, size: (sizes.append(size), count(df, buckets, size))[1])
+    texts = [" ".join(f"w{n // 3}x{i}" for i in range(60)) + f" end{n}" for n in range(150)]
+    got = jaccard.similar(docs(spark, [*texts, *(" ".join(f"u{n}x{i}" for i in range(60)) for n in range(150))])).collect()
+    assert all(r.component_id == (r.doc_id // 3 * 3 if r.doc_id < 150 else r.doc_id) for r in got)
+    assert "MapInArrow" not in plans["held"] and sizes and all(s >= 8 * 150 for s in sizes)
+
+
 # --- language ---
 
 
