@@ -200,6 +200,25 @@ def test_jaccard_what_is_read_again_grows_with_the_groups_alone(spark, monkeypat
     assert "MapInArrow" not in plans["held"] and sizes and all(s >= 8 * 150 for s in sizes)
 
 
+def test_jaccard_plans_are_small(spark, monkeypatch, capsys):
+    """What several steps read is written once: a plan that holds it over and over has all its exchanges at once, in the driver's memory."""
+    from pairloom.llm import components
+
+    plans, write = {}, jaccard.materialise
+
+    def written(df, label):
+        capsys.readouterr()
+        df.explain()
+        plans[label] = max(plans.get(label, 0), capsys.readouterr().out.count("Exchange "))
+        return write(df, label)
+
+    monkeypatch.setattr(jaccard, "materialise", written)
+    monkeypatch.setattr(components, "materialise", written)
+    texts = [" ".join(f"w{n // 3}x{i}" for i in range(60)) + f" end{n}" for n in range(60)]
+    assert sorted(r.doc_id for r in jaccard.first_of_each(docs(spark, texts)).collect()) == list(range(0, 60, 3))
+    assert max(plans.values()) <= 12, plans
+
+
 # --- language ---
 
 
