@@ -366,6 +366,34 @@ def test_passages_of_repeated_lines(spark):
     assert all(30 <= s and s + 50 <= e <= 30 + n for n, (s, e) in zip(spans, [found[i] for i in range(28)], strict=True))
 
 
+def test_seeds_of_many_texts_at_once_are_those_of_each():
+    rng = random.Random(8)
+    texts = [[b"w%d" % rng.randrange(k) for _ in range(n)] for n in (0, 3, 4, 5, 15, 16, 17, 40, 300) for k in (1, 2, 9, 10**6)]
+    rng.shuffle(texts)
+    memo, begins, counts, rows = passages.WordHashes(), [], [], []
+    every = passages.shingles(passages.hashed([w for t in texts for w in t], memo), passages.K)
+    for i, text in enumerate(texts):
+        begins.append(sum(map(len, texts[:i])))
+        counts.append(max(0, len(text) - passages.K + 1))
+        at, h = passages.seeds(text, memo)
+        plain = passages.chosen(passages.shingles(passages.hashed(text, memo), passages.K)).tolist() if len(text) >= passages.K else []
+        assert set(at.tolist()) <= set(plain) and (not plain or (at[0], at[-1]) == (plain[0], plain[-1]))
+        rows += [(begins[i] + p, i, v) for p, v in zip(at.tolist(), h.tolist(), strict=True)]
+    at, text = passages.thinned_in(every, passages.np.array(begins), passages.np.array(counts))
+    assert list(zip(at.tolist(), text.tolist(), every[at].tolist(), strict=True)) == rows
+
+
+def test_passages_words_of_the_other_document_are_made_once(monkeypatch):
+    """Pairs come sorted by the other document: its words are not made anew for each pair."""
+    asked, make = [], passages.words
+    monkeypatch.setattr(passages, "words", lambda t: (asked.append(t), make(t))[1])
+    other = " ".join(f"w{i}" for i in range(60))
+    rows = [(n, 9, [[0, 60, 0, 60]], f"{other} end{n}", other) for n in range(5)]
+    batch = passages.pa.RecordBatch.from_pylist([dict(zip(("doc", "other", "chains", "text", "other_text"), r, strict=True)) for r in rows])
+    found = [r for b in passages._passage_rows(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in found] == [(n, 0, 60) for n in range(5)] and asked.count(other) == 1
+
+
 def test_passages_of_odd_tables(spark):
     assert passages.repeated(odd(spark)).count() == 0
     assert passages.repeated(odd(spark).limit(0)).count() == 0
