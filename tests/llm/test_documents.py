@@ -345,6 +345,41 @@ def test_passages_with_changes_between_documents_that_are_not_the_first_or_last(
     assert all(r.n_words >= 130 and r.identity >= 0.9 for r in found)
 
 
+def test_passages_with_changes_whose_seeds_are_all_frequent(spark):
+    """Every stretch that both documents have stands in six lower and six higher documents as well, each in others; one passage is a line over and over."""
+    rnd = random.Random(13)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts, both = [new(20) for _ in range(200)], []
+    for n in range(8):
+        passage = new(156) if n else ["again"] * 156
+        both.append({80 + 2 * n, 81 + 2 * n})
+        for i in both[-1]:
+            texts[i] += [f"change{i}x{k}" if k % 12 == 11 else w for k, w in enumerate(passage)] + new(20)
+        for k in range(13):
+            for m in range(6):
+                for i in ((n * 13 + 7 * k + 11 * m) % 80, 120 + (n * 13 + 7 * k + 11 * m) % 80):
+                    texts[i] += new(40) + passage[12 * k : 12 * k + 11] + new(40)
+    found = passages.repeated(docs(spark, [" ".join(t) for t in texts])).collect()
+    longest = {(r.doc_id, r.other_id): r.n_words for r in sorted(found, key=lambda r: r.n_words) if r.identity >= 0.9}
+    assert {(r.doc_id, r.other_id) for r in found} == longest.keys() == {(i, j) for ids in both for i in ids for j in ids - {i}}
+    assert min(longest.values()) >= 130
+
+
+def test_pairs_of_seeds_lie_beyond_what_is_found():
+    batch = passages.pa.RecordBatch.from_pylist(
+        [{"doc": 1, "at": [30, 0, 13, 100], "seed": [5, 3, 4, 6], "often": [True, False, True, True], "first": [10], "last": [35]}, {"doc": 2, "at": [0, 13, 26], "seed": [7, 7, 8], "often": [False] * 3, "first": None, "last": None},
+         {"doc": 3, "at": [0, 6, 12, 18], "seed": [9] * 4, "often": [True] * 4, "first": None, "last": None}]
+    )
+    found = [r for b in passages._open_rows(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc"], r["x"], r["x2"], r["alike"]) for r in found] == [(1, 0, 13, False), (1, 0, 30, False), (3, 0, 18, True)]
+    # a seed over and over is one: its last place and the first of what follows
+    rows = [{"doc": 1, "at": [0, 6, 12, 18, 20, 26, 32], "seed": [9] * 4 + [8] * 3, "often": [True] * 7}]
+    row, pair, x, x2, alike = passages._seed_pairs(passages.pa.RecordBatch.from_pylist(rows), passages.NEAR, passages.FAR)
+    assert list(zip(x.tolist(), x2.tolist(), alike.tolist(), strict=True)) == [(0, 18, True), (18, 20, False)]
+    rows = [{"doc": 1, "pairs": [{"pair": 1, "x": 0, "x2": 20}, {"pair": 2, "x": 20, "x2": 40}], "text": "a b c " * 10 + "x " + "a b c " * 10}]
+    assert [r["pair"] for b in passages._changed_rows(iter([passages.pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()] == [2]
+
+
 @pytest.mark.parametrize("period", [1, 2, 3, 5, 7, 11, 12, 13])
 def test_seeds_of_a_repeated_line_leave_no_window_without(period):
     text = [b"a%d" % i for i in range(40)] + [b"w%d" % (i % period) for i in range(200)] + [b"b%d" % i for i in range(40)]
