@@ -200,6 +200,17 @@ def test_jaccard_what_is_read_again_grows_with_the_groups_alone(spark, monkeypat
     assert "MapInArrow" not in plans["held"] and sizes and all(s >= 8 * 150 for s in sizes)
 
 
+def test_jaccard_first_shingles_move_once(spark, monkeypatch):
+    """Groups are marked where the first shingles lie, and pairs of unlike size are left out before they move; what is moved stays on disk."""
+    plans, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), write(df, label))[1])
+    texts = [" ".join(f"w{n // 3}x{i}" for i in range(60)) + f" end{n}" for n in range(60)] + [" ".join(f"w0x{i}" for i in range(9))] * 2
+    got = {r.doc_id: r.component_id for r in jaccard.similar(docs(spark, texts)).collect()}
+    assert got == {n: n // 3 * 3 for n in range(60)} | {60: 60, 61: 60}
+    assert plans["held"].count("Exchange ") == 1 and "Join" not in plans["held"]
+    assert "Join" not in plans["close"] and "100" in plans["close"].split("Exchange ")[1]
+
+
 def test_jaccard_plans_are_small(spark, monkeypatch, capsys):
     """What several steps read is written once: a plan that holds it over and over has all its exchanges at once, in the driver's memory."""
     from pairloom.llm import components
