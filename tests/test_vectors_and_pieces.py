@@ -156,3 +156,16 @@ def test_pieces_are_sought_only_as_far_as_one_goes_on():
     assert expected == pytest.approx({"ab": math.exp(-1.2 - whole), "a": math.exp(-2.5 - whole), "b": math.exp(-2.5 - whole)})
     assert pieces.best("aéb") == ["a", "é", "b"] and SW.Pieces({}).best("é") == ["é"]
     assert SW.words_of("Don't ÉTÉ\u2003«a» x_y") == ["dont", "été", "«a»", "xy"]
+
+
+def test_corpus_words_are_taken_apart_in_the_task(spark, capsys):
+    """They are those of ``normalize_text``, and no plan tests them one by one."""
+    texts = ["The cat's tail, don't!", "été à la naïve İ ß “quoted” x—y", "日本 語 a\x00b c1 ² ½", "", None, "  \t and \u00a0 12 3.4 "]
+    d = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    want = {r.id: r.w for r in d.select("id", SM.normalize_text(F.coalesce("t", F.lit(""))).alias("w")).collect()}
+    plain = SM.plain_words(F.coalesce("t", F.lit("")), SM.word_gaps("full"))
+    rows = d.select("id", plain.alias("p")).withColumn("odd", F.when(F.octet_length("p") != F.length("p"), F.regexp_replace("p", r"[\p{L}\p{N} ]+", ""))).collect()
+    assert {r.id: SM._words(r.p, r.odd) for r in rows} == want
+    capsys.readouterr()
+    SM.embed_corpus(d, ["id"], "t").explain()
+    assert "lambdafunction" not in capsys.readouterr().out
